@@ -168,6 +168,12 @@ def human_bytes(count) -> Column:
     )
 
 
+def fixed(value, digits: int, grouped: bool = False) -> Column:
+    """Fixed-point text; ties go to the even digit."""
+    flag = "," if grouped else ""
+    return F.format_string(f"%{flag}.{digits}f", F.bround(col(value), digits))
+
+
 def metric_display(value, kind) -> Column:
     v, k = col(value), col(kind)
     return (
@@ -179,7 +185,7 @@ def metric_display(value, kind) -> Column:
         .when(k == "score", F.format_string("%.2f", v))
         .when(k == "flag", F.when(v != 0, F.lit("yes")).otherwise(F.lit("no")))
         .when(k == "count", F.format_string("%.1f", v))
-        .when(k == "currency", F.format_string("%,.0f", v))
+        .when(k == "currency", fixed(v, 0, grouped=True))
         .otherwise(F.format_string("%.4f", v))
     )
 

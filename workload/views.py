@@ -125,6 +125,54 @@ FROM {supplier}
 """
 
 
+# Each snapshot becomes up to 16 raw facts: primary and fallback tags, quarter durations,
+# dimensioned rows, comparatives, off-date shares, conflicting and mistyped facts.
+VIEWS["v_raw_facts"] = """
+SELECT accession,
+       CASE WHEN i IN (9, 10) THEN 'dei' WHEN i = 13 THEN 'ext' ELSE taxonomy END AS taxonomy,
+       CASE WHEN i IN (0, 1, 2, 3) THEN CASE WHEN s % 2 = 1 THEN 'Revenue'
+                 WHEN s % 3 <> 0 THEN 'RevenueFromContractWithCustomerExcludingAssessedTax' ELSE 'Revenues' END
+            WHEN i = 4 THEN CASE WHEN s % 2 = 1 THEN 'CostOfSales' WHEN s % 5 = 0 THEN 'CostOfRevenue' ELSE 'CostOfGoodsAndServicesSold' END
+            WHEN i = 5 THEN CASE WHEN s % 2 = 1 THEN 'CashFlowsFromUsedInOperatingActivities' ELSE 'NetCashProvidedByUsedInOperatingActivities' END
+            WHEN i IN (6, 7) THEN 'Assets'
+            WHEN i = 8 THEN CASE WHEN s % 2 = 1 THEN 'CashAndCashEquivalents' WHEN s % 3 = 1 THEN 'CashCashEquivalentsRestrictedCashAndRestrictedCashEquivalents' ELSE 'CashAndCashEquivalentsAtCarryingValue' END
+            WHEN i IN (9, 10) THEN 'EntityCommonStockSharesOutstanding'
+            WHEN i = 11 THEN CASE WHEN s % 2 = 1 THEN 'ProfitLoss' ELSE 'NetIncomeLoss' END
+            WHEN i = 12 THEN 'ProfitLoss' WHEN i = 13 THEN 'CustomMeasure'
+            WHEN i = 14 THEN 'SellingGeneralAndAdministrativeExpense'
+            ELSE CASE WHEN s % 2 = 1 THEN 'Equity' ELSE 'StockholdersEquity' END END AS local_name,
+       CASE WHEN i = 0 THEN revenue WHEN i = 1 THEN revenue / 4 WHEN i = 2 THEN revenue / 3 WHEN i = 3 THEN revenue + 1
+            WHEN i = 4 THEN cost_of_revenue WHEN i = 5 THEN cash_from_operations WHEN i = 6 THEN total_assets
+            WHEN i = 7 THEN total_assets / 2 WHEN i = 8 THEN cash_and_equivalents WHEN i = 9 THEN shares_outstanding
+            WHEN i = 10 THEN shares_outstanding + 5 WHEN i IN (11, 12) THEN net_income WHEN i = 13 THEN revenue / 8
+            WHEN i = 14 THEN sga_expense ELSE total_equity END AS value,
+       CASE WHEN i IN (9, 10) THEN 'shares' WHEN i = 13 THEN 'pure' WHEN s % 12 = 7 AND i < 3 THEN 'CHF' ELSE currency END AS unit,
+       CASE WHEN i IN (6, 7, 8, 9, 10, 15) OR (i = 11 AND s % 5 = 2) THEN 'instant' ELSE 'duration' END AS period_type,
+       CASE WHEN i IN (6, 7, 8, 9, 10, 15) OR (i = 11 AND s % 5 = 2) THEN NULL
+            WHEN i = 1 AND fiscal_period = 'FY' THEN make_date(fiscal_year, 10, 1)
+            WHEN i = 1 THEN make_date(fiscal_year, 4, 1)
+            WHEN i = 14 THEN make_date(fiscal_year, 3, 20)
+            ELSE make_date(fiscal_year, 1, 1) END AS period_start,
+       CASE WHEN i = 7 THEN make_date(fiscal_year - 1, 12, 31)
+            WHEN i = 9 AND s % 4 <> 0 THEN filing_date WHEN i = 10 THEN make_date(fiscal_year + 1, 4, 30)
+            ELSE period_end END AS period_end,
+       i = 2 AS is_dimensioned,
+       CAST(CASE WHEN i % 3 = 0 THEN -3 END AS INT) AS decimals,
+       CASE WHEN s % 2 = 0 AND i <> 3 THEN fiscal_year END AS fiscal_year,
+       CASE WHEN s % 2 = 1 THEN NULL WHEN i IN (6, 8) AND s % 10 = 2 THEN 'Q4' WHEN i < 12 THEN fiscal_period END AS fiscal_period,
+       CAST(i AS BIGINT) AS fact_ordinal
+FROM (SELECT *, CAST(entity_id AS BIGINT) AS s, SERIES(0, 15) AS i FROM {v_snap}) t
+WHERE NOT (i = 4 AND cost_of_revenue IS NULL) AND NOT (i = 3 AND s % 7 <> 3)
+"""
+
+VIEWS["v_filing_headers"] = """
+SELECT accession, entity_source AS source, entity_id, 'Company ' || entity_id AS entity_name,
+       CASE WHEN CAST(entity_id AS BIGINT) % 5 = 0 THEN 'US' END AS country, taxonomy,
+       CASE WHEN CAST(entity_id AS BIGINT) % 19 <> 3 THEN period_end END AS period_of_report, filing_date
+FROM {v_snap}
+"""
+
+
 def view_names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
@@ -143,7 +191,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     args = {n: view(spark, sf_dir, n) for n in view_names(sql)}
-    return spark.sql(sql, **args)
+    return spark.sql(re.sub(r"SERIES\((\d+), (\d+)\)", r"explode(sequence(\1, \2))", sql), **args)
 
 
 def ordered_views(sql: str, seen: dict[str, str] | None = None) -> dict[str, str]:
@@ -157,6 +205,7 @@ def ordered_views(sql: str, seen: dict[str, str] | None = None) -> dict[str, str
 
 
 def plain(sql: str) -> str:
+    sql = re.sub(r"SERIES\((\d+), (\d+)\)", r"unnest(range(\1, \2 + 1))", sql)
     return re.sub(r"\{(\w+)\}", r"\1", sql)
 
 
