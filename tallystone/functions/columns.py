@@ -47,12 +47,12 @@ def first_reason(*checks: tuple[Column, str | Column]) -> Column:
 def date_prefix(value) -> Column:
     """Date of the first ten characters, NULL when they are not an ISO date."""
     head = F.substring(col(value), 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, F.lit("yyyy-MM-dd")))
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
 
 
 def compact_date(value) -> Column:
     """Date of a yyyyMMdd text."""
-    return F.when(col(value).rlike(r"^\d{8}$"), F.try_to_date(col(value), F.lit("yyyyMMdd")))
+    return F.when(col(value).rlike(r"^\d{8}$"), F.try_to_date(col(value), "yyyyMMdd"))
 
 
 def shift_months(day, months) -> Column:

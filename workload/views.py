@@ -190,8 +190,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    args = {n: view(spark, sf_dir, n) for n in view_names(sql)}
-    return spark.sql(re.sub(r"SERIES\((\d+), (\d+)\)", r"explode(sequence(\1, \2))", sql), **args)
+    """Run view SQL in Spark; the names in braces become temporary views."""
+    for name in view_names(sql):
+        view(spark, sf_dir, name).createOrReplaceTempView(f"tally_{name}")
+    sql = re.sub(r"SERIES\((\d+), (\d+)\)", r"explode(sequence(\1, \2))", sql)
+    return spark.sql(re.sub(r"\{(\w+)\}", r"tally_\1", sql))
 
 
 def ordered_views(sql: str, seen: dict[str, str] | None = None) -> dict[str, str]:
