@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import normalize_queries, screen_queries, source_queries
+from workload import normalize_queries, screen_queries, source_queries, storage_queries
 
-GROUPS = (screen_queries, normalize_queries, source_queries)
+GROUPS = (screen_queries, normalize_queries, source_queries, storage_queries)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

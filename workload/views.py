@@ -194,6 +194,7 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for name in view_names(sql):
         view(spark, sf_dir, name).createOrReplaceTempView(f"tally_{name}")
     sql = re.sub(r"SERIES\((\d+), (\d+)\)", r"explode(sequence(\1, \2))", sql)
+    sql = re.sub(r'AS "(\w+)"', r"AS `\1`", sql)
     return spark.sql(re.sub(r"\{(\w+)\}", r"tally_\1", sql))
 
 
