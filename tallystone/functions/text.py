@@ -15,6 +15,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def html_to_text(html: Column) -> Column:
     """Readable text: no script or style bodies, no tags, few entities, single spaces."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")

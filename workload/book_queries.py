@@ -43,7 +43,7 @@ SQL["book_top_composite"] = oracle("SELECT entity_id, CAST(rank AS INT) AS rank,
 
 
 def book_ev_ebit_decile(spark, sf_dir):
-    return B.ev_ebit_decile(screen(spark, sf_dir).ranked).select("entity_id", "rank", "score")
+    return B.ev_ebit_decile(materialize(screen(spark, sf_dir).ranked, "candidates")).select("entity_id", "rank", "score")
 
 
 Q["book_ev_ebit_decile"] = book_ev_ebit_decile

@@ -174,7 +174,7 @@ FROM {v_snap}
 
 
 def view_names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys([n for n in re.findall(r"\{(\w+)\}", sql) if n in VIEWS or n in TABLES]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,7 +195,7 @@ def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         view(spark, sf_dir, name).createOrReplaceTempView(f"tally_{name}")
     sql = re.sub(r"SERIES\((\d+), (\d+)\)", r"explode(sequence(\1, \2))", sql)
     sql = re.sub(r'AS "(\w+)"', r"AS `\1`", sql)
-    return spark.sql(re.sub(r"\{(\w+)\}", r"tally_\1", sql))
+    return spark.sql(re.sub(r"\{((?:[vo]_\w+)|" + "|".join(TABLES) + r")\}", r"tally_\1", sql))
 
 
 def ordered_views(sql: str, seen: dict[str, str] | None = None) -> dict[str, str]:
@@ -210,7 +210,7 @@ def ordered_views(sql: str, seen: dict[str, str] | None = None) -> dict[str, str
 
 def plain(sql: str) -> str:
     sql = re.sub(r"SERIES\((\d+), (\d+)\)", r"unnest(range(\1, \2 + 1))", sql)
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{((?:[vo]_\w+)|" + "|".join(TABLES) + r")\}", r"\1", sql)
 
 
 def oracle(sql: str) -> str:
