@@ -110,11 +110,12 @@ def red_flag_windows(text: Column, pattern: str) -> Column:
     running position and the windows accepted so far, so state stays at four windows.
     """
     regex = "(?iud)" + pattern
-    pieces = F.split(text, regex, -1)
-    hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pairs = F.zip_with(hits, F.slice(pieces, F.lit(1), F.size(hits)), lambda h, p: F.struct(
-        F.length(p).alias("gap"), F.length(h).alias("size")
-    ))
+    # One more piece than matches: the last pair has no match and changes nothing.
+    pairs = F.zip_with(
+        F.split(text, regex, -1),
+        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
+        lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("size")),
+    )
     start_state = F.struct(
         F.lit(0).alias("position"),
         F.array().cast("array<struct<start:int,finish:int>>").alias("windows"),
@@ -123,7 +124,8 @@ def red_flag_windows(text: Column, pattern: str) -> Column:
     def step(acc: Column, m: Column) -> Column:
         begin = acc["position"] + m["gap"]
         start = F.greatest(begin - V.EXCERPT_BEFORE, F.lit(0))
-        free = (F.size(acc["windows"]) < V.EXCERPTS_PER_CATEGORY) & ~F.exists(
+        real = m["size"].isNotNull()
+        free = real & (F.size(acc["windows"]) < V.EXCERPTS_PER_CATEGORY) & ~F.exists(
             acc["windows"], lambda w: F.abs(w["start"] - start) < V.EXCERPT_SPACING
         )
         finish = F.least(F.length(text), begin + m["size"] + V.EXCERPT_AFTER)
@@ -131,26 +133,31 @@ def red_flag_windows(text: Column, pattern: str) -> Column:
             acc["windows"], F.struct(start.alias("start"), finish.alias("finish"))
         )
         return F.struct(
-            (begin + m["size"]).alias("position"),
+            (begin + F.coalesce(m["size"], F.lit(0))).alias("position"),
             F.when(free, added).otherwise(acc["windows"]).alias("windows"),
         )
 
-    return F.aggregate(pairs, start_state, step, lambda acc: acc["windows"])
+    windows = F.aggregate(pairs, start_state, step, lambda acc: acc["windows"])
+    # Most filings lack most categories; for them one search is all that runs.
+    return F.when(text.rlike(regex), windows).otherwise(
+        F.array().cast("array<struct<start:int,finish:int>>")
+    )
 
 
 def excerpts(text: Column) -> Column:
     """ARRAY<STRUCT<category, char_start, text>>, at most 32 per filing."""
-    per_category = [
-        F.transform(
+
+    def passages(category: str, pattern: str) -> Column:
+        return F.transform(
             red_flag_windows(text, pattern),
-            lambda w, c=category: F.struct(
-                F.lit(c).alias("category"),
+            lambda w: F.struct(
+                F.lit(category).alias("category"),
                 w["start"].alias("char_start"),
                 F.trim(F.substring(text, w["start"] + 1, w["finish"] - w["start"])).alias("text"),
             ),
         )
-        for category, pattern in V.RED_FLAG_PATTERNS
-    ]
+
+    per_category = [passages(category, pattern) for category, pattern in V.RED_FLAG_PATTERNS]
     return F.flatten(F.array(*per_category))
 
 

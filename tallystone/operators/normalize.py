@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallystone import vocabulary as V
 from tallystone.functions.columns import identifier_scheme, unit_currency
 from tallystone.operators.ranking import match_keys
+from tallystone.session import materialize
 
 NOTHING_RESOLVED = (
     "no canonical concepts resolved -- the filing has XBRL but none of its "
@@ -166,7 +167,8 @@ def ambiguities(found: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def resolve_with_warnings(facts: DataFrame, identity: DataFrame) -> DataFrame:
-    found = candidates(facts, identity)
+    # Read by the choice and twice by the ambiguity check.
+    found = materialize(candidates(facts, identity), "found")
     chosen = resolve(found)
     keys = ["accession", "concept"]
     joined = match_keys(chosen, ambiguities(found, chosen), keys, "left")
@@ -270,6 +272,6 @@ def snapshot_headers(filings: DataFrame, identity: DataFrame, resolved: DataFram
 def normalize(facts: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(snapshot headers, canonical facts) of a batch of parsed filings."""
     dated = with_reporting_date(facts, filings)
-    identity = period_identity(dated)
+    identity = materialize(period_identity(dated), "identity")
     resolved = resolve_with_warnings(dated, identity)
     return snapshot_headers(filings, identity, resolved), canonical_facts(resolved, filings)
