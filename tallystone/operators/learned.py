@@ -13,6 +13,9 @@ from tallystone.operators.evaluation import feature_names
 from tallystone.session import materialize, shared_folder
 
 
+ROWS_PER_PARTITION = 200_000
+
+
 class InsufficientHistory(RuntimeError):
     """Too few labelled picks to train on."""
 
@@ -51,6 +54,9 @@ def gbdt_book(
     # Feature names come from the fixed metric vocabulary, so this list is short.
     names = [r.feature for r in feature_names(stored).collect()]
     shared_folder(candidates.sparkSession)
+    # Each round runs several short jobs over the history: few, cached partitions.
+    parts = count // ROWS_PER_PARTITION + 1
+    vectors = _vectors(stored, names, ["forward_return"]).coalesce(parts).persist()
     model = GBTRegressor(
         featuresCol="vector",
         labelCol="forward_return",
@@ -58,7 +64,8 @@ def gbdt_book(
         stepSize=0.1,
         minInstancesPerNode=5,
         seed=0,
-    ).fit(_vectors(stored, names, ["forward_return"]))
+    ).fit(vectors)
+    vectors.unpersist()
     rows = candidates.select("entity_id", finite_map("metric_values").alias("features"))
     scored = model.transform(_vectors(rows, names, ["entity_id"]))
     best = scored.orderBy(F.col("prediction").desc(), "entity_id").limit(top)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallystone import vocabulary as V
 from tallystone.operators import books as B
 from tallystone.operators import evaluation as E
-from tallystone.operators.learned import gbdt_book
+from tallystone.operators.learned import InsufficientHistory, gbdt_book
 from tallystone.plans.pick import evaluate, run_pick
 from tallystone.session import fresh_path, materialize
 from tallystone.sources import ledger as LG
@@ -262,16 +262,16 @@ UNION ALL SELECT 'a,b', 0, 0
 
 
 def book_gbdt(spark, sf_dir):
-    """Boosted baseline: history from scored picks, candidates from the same features.
+    """Boosted baseline trained on the graded picks of every vintage.
 
-    On tables with too little history the refusal is the result, as in the reference data flow.
+    Tables with too little history give no rows: the baseline refuses to train on them.
     """
-    from tallystone.operators.learned import InsufficientHistory
-
-    scored = _evaluation(spark, sf_dir).scored
-    candidates = scored.where("strategy = 'universe_ew'").select("entity_id", F.col("features").alias("metric_values"))
+    picks = materialize(_picks(spark, sf_dir), "picks")
+    scored = evaluate(picks, view(spark, sf_dir, "v_forward")).scored
+    newest = E.scope_to_vintage(scored).where("strategy = 'universe_ew'")
+    candidates = newest.select("entity_id", F.col("features").alias("metric_values"))
     try:
-        return gbdt_book(candidates, E.labeled_observations(scored), top=20, rounds=20)
+        return gbdt_book(candidates, E.labeled_observations(scored), top=20, rounds=40)
     except InsufficientHistory:
         return scored.where("1 = 0").select("strategy", "entity_id", F.col("net_return").alias("score"))
 

@@ -63,7 +63,8 @@ SQL["anonymized_text"] = oracle(f"SELECT accession, md5({_HIDDEN}) AS text_md5 F
 
 
 def red_flag_excerpts(spark, sf_dir):
-    return EV.excerpt_rows(view(spark, sf_dir, "v_filings"))
+    rows = EV.excerpt_rows(view(spark, sf_dir, "v_filings"))
+    return rows.withColumn("char_start", F.col("char_start").cast("long"))
 
 
 Q["red_flag_excerpts"] = red_flag_excerpts
@@ -226,3 +227,47 @@ WITH g AS (SELECT entity_id, '  ' || metric || ' = ' || CASE WHEN value = CAST('
 SELECT l.entity_id, 'Period: ' || period_end || ' (' || fiscal_period || '), currency ' || currency || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY n) FROM g WHERE g.entity_id = l.entity_id) AS metrics_block
 FROM {o_latest} l
 """)
+
+# ------------------------------------------------------------------ SQL of the excerpts
+_LEN = "CAST(coalesce(list_sum(list_transform({0}, lambda z: length(z))), 0) AS BIGINT)"
+
+
+def _category_sql(position: int, category: str, pattern: str, source: str) -> str:
+    p = "(?i)" + pattern.replace("'", "''")
+    return f"""SELECT entity_id, accession, text, {position} AS c, '{category}' AS category,
+  regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS pieces FROM {source} WHERE regexp_matches(text, '{p}')"""
+
+
+def _excerpts_sql(source: str) -> str:
+    from tallystone.vocabulary import RED_FLAG_PATTERNS
+
+    found = " UNION ALL ".join(_category_sql(i, c, p, source) for i, (c, p) in enumerate(RED_FLAG_PATTERNS))
+    before = _LEN.format("pieces[1:i]") + " + " + _LEN.format("hits[1:i - 1]")
+    return f"""
+SELECT entity_id, accession, c, category, s AS char_start, trim(substr(text, CAST(s + 1 AS INT), CAST(e - s AS INT))) AS text FROM (
+  SELECT *, v // 1073741824 AS s, v % 1073741824 AS e FROM (
+    SELECT *, unnest(list_reduce(list_transform(codes, lambda y: [y]), lambda acc, x: CASE WHEN len(acc) < 4 AND len(list_filter(acc, lambda a: abs(a // 1073741824 - x[1] // 1073741824) < 900)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS v FROM (
+      SELECT *, list_transform(range(1, len(hits) + 1), lambda i: greatest({before} - 250, 0) * 1073741824 + least(length(text), {before} + length(hits[i]) + 500)) AS codes FROM ({found}) f) g) h) k
+"""
+
+
+def _numbered(source: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY accession ORDER BY c, char_start) - 1 AS n FROM ({_excerpts_sql(source)}) x"
+
+
+_FILINGS_CTES = oracle("SELECT * FROM {v_filings}").rsplit("SELECT *", 1)[0]
+SQL["red_flag_excerpts"] = _FILINGS_CTES + f"SELECT entity_id, accession, CAST(n AS INT) AS n, category, char_start, text FROM ({_numbered('v_filings')}) y"
+
+_ALL_CTES = oracle("SELECT * FROM {o_metrics} JOIN {o_latest} ON true JOIN {o_pack} ON true").rsplit("\nSELECT * FROM o_metrics", 1)[0]
+_BLOCKS = SQL["metric_blocks"][SQL["metric_blocks"].rindex("g AS (SELECT entity_id, '  '"):]
+_LABEL = EV.EVIDENCE_LABEL.replace("\n", "' || chr(10) || '")
+SQL["prompt_rows"] = _ALL_CTES + f""",
+o_blocks AS (WITH {_BLOCKS}),
+o_excerpts AS ({_numbered('o_pack')}),
+o_bodies AS (SELECT entity_id, place, '=== FILING ' || accession || ' ===' || chr(10) || CASE WHEN length(text) <= 12000 THEN text
+   ELSE coalesce((SELECT string_agg('[excerpt: ' || category || ']' || chr(10) || e.text, chr(10) || chr(10) ORDER BY n) FROM o_excerpts e WHERE e.accession = p.accession),
+     '[text truncated for length]' || chr(10) || substr(text, 1, 12000)) END AS body FROM o_pack p),
+o_prompts AS (SELECT b.entity_id, '{EV.METRICS_LABEL}' || chr(10) || metrics_block || chr(10) || chr(10) || '{_LABEL}' || chr(10) || chr(10)
+  || coalesce((SELECT string_agg(body, chr(10) || chr(10) ORDER BY place) FROM o_bodies f WHERE f.entity_id = b.entity_id), '{EV.NO_EVIDENCE}') AS prompt FROM o_blocks b)
+SELECT entity_id, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM o_prompts
+"""
