@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 HOT_ROWS = 2_000_000
 RANGES = 128
 SAMPLE_ROWS = 4096
+# Tables of hot groups are broadcast up to this many groups (at most 128 narrow rows each);
+# beyond it the joins are left to adaptive execution, which splits skewed keys.
+BROADCAST_GROUPS = 2_000
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -27,9 +30,16 @@ def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(renamed, on, how).select(*left.columns, *extra)
 
 
-def _ranges(df: DataFrame, keys: list[str], order: Column, sizes: DataFrame) -> DataFrame:
+def _per_group(table: DataFrame, groups: int) -> DataFrame:
+    """A table with few rows per hot group, broadcast when the groups were counted as few."""
+    return F.broadcast(table) if groups <= BROADCAST_GROUPS else table
+
+
+def _ranges(
+    df: DataFrame, keys: list[str], order: Column, sizes: DataFrame, groups: int
+) -> DataFrame:
     """Add __range, the index of the value range of each row inside its group."""
-    sized = match_keys(df.withColumn("__o", order), sizes, keys, "inner")
+    sized = match_keys(df.withColumn("__o", order), _per_group(sizes, groups), keys, "inner")
     chosen = (F.pmod(F.xxhash64("__o"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < (
         F.lit(float(SAMPLE_ROWS)) / F.col("__n")
     )
@@ -47,17 +57,24 @@ def _ranges(df: DataFrame, keys: list[str], order: Column, sizes: DataFrame) ->
             ).alias("__e"),
         )
     )
-    placed = match_keys(sized, edges, keys, "left")
+    placed = match_keys(sized, _per_group(edges, groups), keys, "left")
     index = F.size(F.filter(F.col("__e"), lambda e: e < F.col("__o")))
     return placed.withColumn("__range", F.when(F.col("__e").isNull(), 0).otherwise(index)).drop(
         "__e", "__n"
     )
 
 
-def _running(df: DataFrame, keys: list[str], order: Column, sizes: DataFrame, weight: str | None):
+def _running(
+    df: DataFrame,
+    keys: list[str],
+    order: Column,
+    sizes: DataFrame,
+    groups: int,
+    weight: str | None = None,
+) -> DataFrame:
     """Add __upto, the total weight of the group up to and including the row."""
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
-    placed = _ranges(df, keys, order, sizes).withColumn("__w", w)
+    placed = _ranges(df, keys, order, sizes, groups).withColumn("__w", w)
     below = Window.partitionBy(*keys).orderBy("__range")
     offsets = (
         placed.groupBy(*keys, "__range")
@@ -65,7 +82,7 @@ def _running(df: DataFrame, keys: list[str], order: Column, sizes: DataFrame, we
         .withColumn("__below", F.sum("__rows").over(below) - F.col("__rows"))
         .drop("__rows")
     )
-    shifted = match_keys(placed, offsets, [*keys, "__range"], "inner")
+    shifted = match_keys(placed, _per_group(offsets, groups), [*keys, "__range"], "inner")
     inside = Window.partitionBy(*keys, "__range").orderBy("__o")
     running = F.sum("__w").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return shifted.withColumn("__upto", F.col("__below") + running)
@@ -87,17 +104,19 @@ def with_rank(
     if not keys:
         one = df.withColumn("__all", F.lit(0))
         sizes = one.groupBy("__all").agg(F.count(F.lit(1)).alias("__n"))
-        ranked = _running(one, ["__all"], packed, sizes, None)
+        ranked = _running(one, ["__all"], packed, sizes, 1)
         return ranked.select(*columns, F.col("__upto").alias(name))
 
     plain_rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    if sizes.isEmpty():
+    groups = sizes.count()
+    if groups == 0:
         return df.withColumn(name, plain_rank)
-    flagged = match_keys(df, sizes.select(*keys, F.lit(True).alias("__hot")), keys, "left")
+    flag = _per_group(sizes.select(*keys, F.lit(True).alias("__hot")), groups)
+    flagged = match_keys(df, flag, keys, "left")
     plain = flagged.where(F.col("__hot").isNull()).select(*columns, plain_rank.alias(name))
     hot = flagged.where(F.col("__hot")).select(*columns)
-    ranked = _running(hot, keys, packed, sizes, None)
+    ranked = _running(hot, keys, packed, sizes, groups)
     return plain.unionByName(ranked.select(*columns, F.col("__upto").alias(name)))
 
 
@@ -123,8 +142,10 @@ def group_percentiles(
             .select(*keys, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
         )
 
-    if flag.isEmpty():
+    groups = flag.count()
+    if groups == 0:
         return aggregate(narrow)
+    flag = _per_group(flag, groups)
     flagged = match_keys(narrow, flag, keys, "left")
     plain = aggregate(flagged.where(F.col("__n").isNull()))
 
@@ -134,7 +155,8 @@ def group_percentiles(
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    running = match_keys(_running(distinct, keys, F.struct("__v"), flag, "__c"), flag, keys, "inner")
+    counted = _running(distinct, keys, F.struct("__v"), flag, groups, "__c")
+    running = match_keys(counted, flag, keys, "inner")
     first = F.col("__upto") - F.col("__w")
     parts = []
     for i, p in enumerate(probabilities.values()):

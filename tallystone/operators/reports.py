@@ -203,7 +203,11 @@ def write_markdown(lines: DataFrame, path: str) -> None:
 
 # ------------------------------------------------------------------ report tree
 def read_report_tree(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents under <day>/ folders with their day and file name."""
+    """JSON documents under <day>/ folders with their day and file name.
+
+    Spark skips files whose name starts with an underscore, so run indexes are landed as
+    run-<id>.json; tables that hold the _run-<id>.json names are understood as well.
+    """
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
     parts = F.split(F.col("_metadata.file_path"), "/")
     return files.select(
@@ -213,7 +217,7 @@ def read_report_tree(spark: SparkSession, path: str) -> DataFrame:
 
 def tree_snapshot(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries of run indexes with their details, stand-alone briefs), newest day first."""
-    is_index = F.col("file").startswith("_run-")
+    is_index = F.col("file").rlike("^_?run-")
     index = documents.where(is_index).select(
         "day", F.col("file").alias("index_file"), F.from_json("value", schemas.RUN_INDEX).alias("r")
     ).where(F.col("r").isNotNull())
