@@ -16,7 +16,7 @@ def col(c: Column | str) -> Column:
 
 def safe_div(numerator, denominator) -> Column:
     """NULL when a side is NULL or the denominator is zero."""
-    return F.try_divide(col(numerator).cast("double"), col(denominator).cast("double"))
+    return F.try_divide(col(numerator), col(denominator))
 
 
 def clip(value, low, high) -> Column:

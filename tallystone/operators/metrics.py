@@ -7,6 +7,7 @@ metric are tested in a fixed order and the first one that fails gives the reason
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def metric(
     basis = F.lit(basis) if isinstance(basis, str) else basis
     no_inputs = F.create_map().cast("map<string,double>")
     no_warnings = F.array().cast("array<string>")
-    pairs = [x for k, v in (inputs or {}).items() for x in (F.lit(k), v.cast("double"))]
+    pairs = [x for k, v in (inputs or {}).items() for x in (F.lit(k), v)]
     return F.struct(
-        F.when(ok, value).cast("double").alias("value"),
+        F.when(ok, value).alias("value"),
         F.lit(kind).alias("kind"),
         basis.alias("basis"),
         ok.alias("ok"),
@@ -636,15 +637,16 @@ def liquidity_metrics(inputs: DataFrame, intended_position: float) -> DataFrame:
 
 
 # ------------------------------------------------------------------ report
-def compute_metrics(snapshots: DataFrame, market: DataFrame | None = None) -> DataFrame:
-    """All report metrics of each entity: latest snapshot, or annual pair where two are needed."""
-    latest = derive(with_market(latest_snapshot(snapshots), market))
-    both = latest.join(annual_pair(snapshots), "entity_id", "left").withColumn(
-        "has_annual_pair", F.col("cur").isNotNull()
-    )
-    cur, pri = (lambda n: F.col("cur")[n]), (lambda n: F.col("pri")[n])
-    pair = F.col("has_annual_pair")
-    columns = {
+def member(struct: str) -> Get:
+    """Fields of a struct column, each Column built once."""
+    return cache(lambda name: F.col(f"{struct}.{name}"))
+
+
+@cache
+def report_columns() -> dict[str, Column]:
+    """Every report metric by name. Unresolved Columns, built once and used by any frame."""
+    cur, pri, pair = member("cur"), member("pri"), F.col("has_annual_pair")
+    return {
         "gp_to_assets": gross_profit_to_assets(),
         "accruals": accruals(),
         "roic": roic(),
@@ -663,6 +665,14 @@ def compute_metrics(snapshots: DataFrame, market: DataFrame | None = None) -> Da
         "beneish_m": beneish_m(cur, pri, pair),
         "share_issuance": share_issuance(cur, pri, pair),
     }
+
+
+def compute_metrics(snapshots: DataFrame, market: DataFrame | None = None) -> DataFrame:
+    """All report metrics of each entity: latest snapshot, or annual pair where two are needed."""
+    latest = derive(with_market(latest_snapshot(snapshots), market))
+    both = latest.join(annual_pair(snapshots), "entity_id", "left").withColumn(
+        "has_annual_pair", F.col("cur").isNotNull()
+    )
     carried = [c for c in ("entity_name", "entity_country", "taxonomy") if c in snapshots.columns]
     return both.select(
         "entity_id",
@@ -673,7 +683,7 @@ def compute_metrics(snapshots: DataFrame, market: DataFrame | None = None) -> Da
         "revenue",
         F.col("price").isNotNull().alias("has_market_data"),
         "has_annual_pair",
-        *[c.alias(n) for n, c in columns.items()],
+        *[c.alias(n) for n, c in report_columns().items()],
     )
 
 

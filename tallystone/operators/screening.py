@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,7 +152,9 @@ ALL_RULES: tuple[Callable[[], Column], ...] = (
 )
 
 
-def evaluate_excludes(rules: Sequence[Callable[[], Column]] = ALL_RULES) -> Column:
+@cache
+def evaluate_excludes(rules: tuple[Callable[[], Column], ...] = ALL_RULES) -> Column:
+    """ARRAY of the checks of every rule, in rule order."""
     return F.array(*[rule() for rule in rules])
 
 
@@ -216,6 +219,7 @@ def attach_profile(metrics: DataFrame, profiles: DataFrame | None) -> DataFrame:
     )
 
 
+@cache
 def ranking_map() -> Column:
     """Map of the ranked metrics that computed."""
     entries = [

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
@@ -14,16 +15,52 @@ from tallystone.operators.metrics import compute_metrics
 from tallystone.session import materialize
 
 
-@dataclass(frozen=True)
+@dataclass
 class ScreenResult:
-    """Lazy frames of one screen run."""
+    """Lazy frames of one screen run over the stored, checked universe."""
 
     checked: DataFrame
-    ranked: DataFrame
-    excluded: DataFrame
-    insufficient_checks: DataFrame
-    cohort_sizes: DataFrame
-    universe_size: DataFrame
+    gated: Column
+    min_cohort: int
+    weights: dict[str, float] | None
+
+    @cached_property
+    def universe(self) -> DataFrame:
+        return self.checked.where(~self.gated)
+
+    @cached_property
+    def survivors(self) -> DataFrame:
+        return self.universe.where(~S.is_excluded(F.col("checks"))).select(
+            "entity_id", "name", *S.COHORT, S.ranking_map().alias("metrics"), "underfollowed"
+        )
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return S.rank(self.survivors, self.weights, self.min_cohort)
+
+    @cached_property
+    def excluded(self) -> DataFrame:
+        dropped = self.gated | S.is_excluded(F.col("checks"))
+        sector = F.array(F.concat(F.lit("excluded sector: "), "sector"))
+        reasons = F.when(self.gated, sector).otherwise(S.exclusion_reasons(F.col("checks")))
+        return self.checked.where(dropped).select("entity_id", "name", reasons.alias("reasons"))
+
+    @cached_property
+    def insufficient_checks(self) -> DataFrame:
+        return (
+            self.universe.select(F.explode("checks").alias("c"))
+            .where(F.col("c.decision") == S.INSUFFICIENT)
+            .groupBy(F.col("c.rule").alias("rule"))
+            .agg(F.count(F.lit(1)).alias("entities"))
+        )
+
+    @cached_property
+    def cohort_sizes(self) -> DataFrame:
+        return S.cohort_sizes(self.survivors).select(cohort_label().alias("cohort"), "members")
+
+    @cached_property
+    def universe_size(self) -> DataFrame:
+        return self.universe.agg(F.count(F.lit(1)).alias("universe_size"))
 
 
 def checked_universe(
@@ -46,32 +83,7 @@ def run_screen(
     # Ranking and tallies read this table many times: one row per entity, written once.
     checked = materialize(checked_universe(snapshots, profiles, market), "checked")
     gated = F.col("sector_excluded") & F.lit(not include_excluded_sectors)
-    universe = checked.where(~gated)
-    survivors = universe.where(~S.is_excluded(F.col("checks"))).select(
-        "entity_id", "name", *S.COHORT, S.ranking_map().alias("metrics"), "underfollowed"
-    )
-    excluded = checked.where(gated | S.is_excluded(F.col("checks"))).select(
-        "entity_id",
-        "name",
-        F.when(gated, F.array(F.concat(F.lit("excluded sector: "), "sector")))
-        .otherwise(S.exclusion_reasons(F.col("checks")))
-        .alias("reasons"),
-    )
-    insufficient = (
-        universe.select(F.explode("checks").alias("c"))
-        .where(F.col("c.decision") == S.INSUFFICIENT)
-        .groupBy(F.col("c.rule").alias("rule"))
-        .agg(F.count(F.lit(1)).alias("entities"))
-    )
-    sizes = S.cohort_sizes(survivors).select(cohort_label().alias("cohort"), "members")
-    return ScreenResult(
-        checked=checked,
-        ranked=S.rank(survivors, weights, min_cohort),
-        excluded=excluded,
-        insufficient_checks=insufficient,
-        cohort_sizes=sizes,
-        universe_size=universe.agg(F.count(F.lit(1)).alias("universe_size")),
-    )
+    return ScreenResult(checked, gated, min_cohort, weights)
 
 
 def screen_notes(result: ScreenResult, has_prices: bool) -> DataFrame:
