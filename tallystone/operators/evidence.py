@@ -171,29 +171,36 @@ def union_sources(filings: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def verify_brief_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
-    """A quote counts when its cited source, or any other source of the run, holds it."""
+    """A quote counts when its cited source, or any other source of the run, holds it.
+
+    The cited source is tried first, by equality. Only quotes it does not hold meet the other
+    sources of their run, and a run fetches at most one source per step.
+    """
     keys = ["run_id", "finding_ordinal"]
     folded = materialize(
         sources.select("run_id", "source", "text", T.fold(F.col("text")).alias("folded")),
         "sources",
     )
-    asked = findings.withColumn("quote", T.strip(F.col("quoted_span")))
     ladder = quote_ladder(F.col("quote"), F.col("text"), F.col("folded"))
-    found = (
-        asked.where(F.length("quote") >= V.MIN_QUOTE_CHARS)
-        .select(*keys, "quote", F.col("source").alias("cited"))
-        .join(folded, "run_id")
+    long_enough = F.length("quote") >= V.MIN_QUOTE_CHARS
+    asked = findings.withColumn("quote", T.strip(F.col("quoted_span")))
+    in_cited = asked.join(folded, ["run_id", "source"], "left").withColumn(
+        "in_cited", F.coalesce(long_enough & ladder.isNotNull(), F.lit(False))
+    )
+    first = materialize(in_cited.select(*findings.columns, "quote", "in_cited"), "cited")
+    elsewhere = (
+        first.where(~F.col("in_cited") & long_enough)
+        .select(*keys, "quote")
+        .join(folded.drop("source"), "run_id")
         .where(ladder.isNotNull())
-        .groupBy(*keys)
-        .agg(F.bool_or(F.col("source") == F.col("cited")).alias("in_cited"))
+        .select(*keys, F.lit(True).alias("elsewhere"))
+        .distinct()
     )
-    joined = asked.drop("quote").join(found, keys, "left")
-    return joined.select(
+    verified = F.col("in_cited") | F.coalesce("elsewhere", F.lit(False))
+    return first.join(elsewhere, keys, "left").select(
         *findings.columns,
-        F.col("in_cited").isNotNull().alias("verified"),
-        F.when(F.col("in_cited").isNull(), F.lit("quote not found in any fetched source")).alias(
-            "reason"
-        ),
+        verified.alias("verified"),
+        F.when(~verified, F.lit("quote not found in any fetched source")).alias("reason"),
     )
 
 
