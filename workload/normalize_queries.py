@@ -35,7 +35,6 @@ def _vote(field: str, expr: str) -> str:
 FROM {{o_dated}} WHERE period_end = period_of_report AND {expr} IS NOT NULL GROUP BY accession, {expr}"""
 
 
-_CCY = "CASE WHEN regexp_full_match(unit, '[A-Za-z]{{3}}') THEN unit END"
 VIEWS["o_votes"] = " UNION ALL ".join(
     (_vote("fiscal_period", "fiscal_period"), _vote("fiscal_year", "fiscal_year"), _vote("currency", "unit_ccy"))
 ).replace("{o_dated}", f"(SELECT *, CASE WHEN length(unit) = 3 THEN unit END AS unit_ccy FROM {{o_dated}}) d")
