@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, packing
+from tallystone.llm import decontaminate, packing, quality_classifier, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op8_packing": packing.op8_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
