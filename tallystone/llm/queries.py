@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, packing, quality_classifier, toxicity
+from tallystone.llm import decontaminate, packing, quality_classifier, simhash, toxicity
 
 QUERIES = {
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_packing": packing.op8_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
