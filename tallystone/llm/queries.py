@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, packing, quality_classifier, simhash, toxicity
+from tallystone.llm import decontaminate, packing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_packing": packing.op8_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
+}
