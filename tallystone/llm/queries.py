@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, packing, quality_classifier, quality_rules, simhash, toxicity
+from tallystone.llm import decontaminate, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_secret_scans": secrets.op6_secret_scans,
     "op8_packing": packing.op8_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
