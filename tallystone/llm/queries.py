@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
+from tallystone.llm import decontaminate, html_extraction, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op8_packing": packing.op8_packing,
+    "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
