@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, html_extraction, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
+from tallystone.llm import decontaminate, html_extraction, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_benchmark_decontamination": decontaminate.op3_benchmark_decontamination,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
