@@ -302,8 +302,11 @@ def find_links(fps: DataFrame, plan: list[tuple[list[int], int]], group_rows: in
     return small.union(rest.select("a", "b"))
 
 
-def fingerprint_components(docs_fp: DataFrame) -> DataFrame:
-    """Rows (fp, component_id) for a stored table of doc_id and fp."""
+def fingerprint_components(docs_fp: DataFrame, with_root: bool = False) -> DataFrame:
+    """Rows (fp, component_id), or (fp, root), for a stored table of doc_id and fp.
+
+    A root is the least fingerprint of a component, a component_id its smallest doc_id.
+    """
     per_fp = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     fps = materialize(per_fp, "fingerprints")
     sample = fps.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).toPandas()["fp"].to_numpy(dtype=np.int64)
@@ -311,6 +314,8 @@ def fingerprint_components(docs_fp: DataFrame) -> DataFrame:
     roots = components(find_links(fps.select("fp"), plan))
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    if with_root:
+        return rooted.select("fp", "root")
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(names, "root").select("fp", "component_id")
 
@@ -322,6 +327,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs_fp.join(fingerprint_components(docs_fp), "fp")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """Documents with all their columns, one of each component: that of the smallest id.
+
+    Rows equal in id and text are one document. A component of null ids alone keeps one of them.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    made, name = with_fingerprint(narrow, "text", size)
+    marks = [F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash")]
+    docs_fp = materialize(made.select("doc_id", F.col(f"{name}.fp").alias("fp"), *marks), "simhash")
+    named = docs_fp.join(fingerprint_components(docs_fp, with_root=True), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "id_hash")
+    least = named.groupBy("root").agg(F.min(order).alias("x"))
+    hashes = [free_name(docs, "text_hash"), free_name(docs, "id_hash")]
+    stay = least.select(F.col("x.text_hash").alias(hashes[0]), F.col("x.id_hash").alias(hashes[1]))
+    hashed = docs.withColumns({hashes[0]: F.xxhash64(text), hashes[1]: F.xxhash64(id_col)})
+    return hashed.join(stay, hashes, "left_semi").dropDuplicates(hashes).drop(*hashes)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
