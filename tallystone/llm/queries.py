@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, html_extraction, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from tallystone.llm import decontaminate, html_extraction, licenses, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_license_scans": licenses.op7_license_scans,
     "op8_packing": packing.op8_packing,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op7_license_scans": licenses.OP7_SQL,
 }
