@@ -12,7 +12,10 @@ by row. An empty table gives no pieces. Other columns are left out.
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,85 +33,132 @@ LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 # Characters of words kept with their ids in a worker; the table starts afresh when full.
-MEMO_CHARS = 4_000_000
+MEMO_CHARS = 3_000_000
+MARKS = string.punctuation
 
 
 class Encoder:
-    """Ids of whole texts. No token crosses a blank or a line break, so ids of pieces are kept."""
+    """Ids of whole texts as bytes, 16 bits each.
+
+    No token crosses a blank or a line break, nor runs from letters into a closing mark, and letters
+    count without case, so the ids of words are kept and put together.
+    """
 
     def __init__(self, path: str, memo_chars: int = MEMO_CHARS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are stored in 16 bits; this vocabulary has more than 65,536")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(1 << 16, dtype=bool)
+        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
         self.memo_chars, self.held = memo_chars, 0
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without the end id."""
-        pieces: list[list[str] | None] = []
-        fresh: set[str] = set()
+        """Ids of each text, without the end id."""
         if self.held > self.memo_chars:
             self.memo, self.held = {}, 0
         memo = self.memo
+        pieces: list[list[str] | None] = []
+        fresh: set[str] = set()
         for text in texts:
-            if not text:
-                pieces.append([])
-            elif any(s in text for s in self.special):
-                pieces.append(None)  # a special token can take blanks with it
+            plain = (text or "").lower() if (text or "").isascii() else text
+            if any(s in plain for s in self.special):
+                pieces.append(None)  # special tokens count before letters lose their case
+                continue
+            parts = plain.replace("\n", " ").split(" ") if plain else []
+            pieces.append(parts)
+            fresh.update(set(parts).difference(memo))
+        self.learn(fresh)
+        join, get = b"".join, memo.__getitem__
+        return [
+            self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if parts is None else join(map(get, parts))
+            for text, parts in zip(texts, pieces)
+        ]
+
+    def learn(self, fresh: set[str]) -> None:
+        memo = self.memo
+        marked = []  # letters and closing marks: (word, letters, marks)
+        wanted = set()
+        for w in fresh:
+            letters = w.rstrip(MARKS)
+            if letters and letters != w and letters.isalpha():
+                marked.append((w, letters, w[len(letters) :]))
+                wanted.add(letters)
+                wanted.add(w[len(letters) :])
             else:
-                parts = text.replace("\n", " ").split(" ")
-                pieces.append(parts)
-                fresh.update(p for p in parts if p not in memo)
-        new = list(fresh)
-        self.held += sum(map(len, new))
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
+                wanted.add(w)
+        new = list(wanted.difference(memo))
+        self.held += sum(map(len, new)) + sum(map(len, fresh))
+        self.learn_letters([w for w in new if w.isalpha()])
+        self.learn_each([w for w in new if not w.isalpha()])
+        for w, letters, marks in marked:
+            memo[w] = memo[letters] + memo[marks]
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Many words in one call; each ends with the only token of it that ends a word."""
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
+            stops = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(stops) != len(some):
+                self.learn_each(some)
+                continue
+            whole, stops = ids.tobytes(), (2 * stops).tolist()
+            self.memo.update(zip(some, map(whole.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+
+    def learn_each(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
             for word, coded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[word] = np.asarray(coded.ids, dtype="<u4").tobytes()
-        out = []
-        for text, parts in zip(texts, pieces):
-            if parts is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.asarray(ids, dtype="<u4").tobytes())
-            else:
-                out.append(b"".join([memo[p] for p in parts]))
-        return out
+                self.memo[word] = self.packed(coded.ids)
+
+    @staticmethod
+    def packed(ids: list[int]) -> bytes:
+        return array("H", ids).tobytes()
+
+
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process, with what it knows from earlier tasks."""
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def tokenize(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None
 ) -> DataFrame:
-    """One row a document: id, task, position in the task's output, ids with the end id.
-
-    Ids are stored as 16-bit numbers where the vocabulary allows.
-    """
+    """One row a document: id, task, position in the task's output, 16-bit ids with the end id."""
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         part, seen = TaskContext.get().partitionId(), 0
-        end = np.asarray([END_ID], dtype="<u4").tobytes()
+        end = encoder.packed([END_ID])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
                 ids = [x + end for x in encoder.batch(rows.column(1).to_pylist())]
-                sizes = [len(x) // 4 for x in ids]
+                sizes = [len(x) // 2 for x in ids]
                 starts = seen + np.cumsum([0, *sizes[:-1]])
                 seen += sum(sizes)
-                stored = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),
                         pa.array([part] * rows.num_rows, pa.int64()),
                         pa.array(starts, pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.array(stored, pa.binary()),
+                        pa.array(ids, pa.binary()),
                     ],
                     names=["doc_id", "part", "part_start", "doc_tokens", "ids"],
                 )
 
-    if Tokenizer.from_file(path).get_vocab_size() > 1 << 16:
-        raise ValueError("ids are stored in 16 bits; this vocabulary has more than 65,536")
     kind = narrow.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, part bigint, part_start bigint, doc_tokens bigint, ids binary"
     return narrow.mapInArrow(run, schema)
@@ -117,10 +167,10 @@ def tokenize(
 def with_global_start(tokens: DataFrame) -> DataFrame:
     """Add each document's first global position; `tokens` must be a stored table."""
     totals = tokens.groupBy("part").agg(F.max(F.col("part_start") + F.col("doc_tokens")).alias("total"))
-    # One row for each task of pass one, so the ordered sum over them all is small.
+    # One row of 16 bytes for each task of pass one: the bound of the ordered sum and the broadcast.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return tokens.join(bases, "part").withColumn("global_start", F.col("base") + F.col("part_start"))
+    return tokens.join(F.broadcast(bases), "part").withColumn("global_start", F.col("base") + F.col("part_start"))
 
 
 def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
