@@ -102,7 +102,7 @@ def merged(text: str | None, old: dict, new: dict) -> dict:
     """Hits of two automata over one text."""
     spans: list[list[int]] = []
     for s in sorted((x["start"], x["end"]) for x in [*old["spans"], *new["spans"]]):
-        if spans and s[0] <= spans[-1][1]:
+        if spans and (s[0] <= spans[-1][1] or not words_of(text[spans[-1][1] : s[0]])):
             spans[-1][1] = max(spans[-1][1], s[1])
         else:
             spans.append(list(s))

@@ -3,8 +3,9 @@
 Three rules give base spans. The method adds tokens of sixteen characters and more that look random:
 two character Markov models, one of random strings and one of ordinary identifiers, are trained from
 labelled tokens, and a token whose log-likelihood ratio passes a threshold is a span of kind
-`markov`. Labels come from the rules: a token that overlaps a base span is a random string, any
-other is an identifier. Pair counts cover all tokens of all texts and are combined before the
+`markov`. Labels come from the rules: a token that overlaps a base span is a random string, one of
+letters without a digit or of digits alone is an ordinary identifier, and any other has no label and
+is only scored. Pair counts cover all labelled tokens of all texts and are combined before the
 shuffle; a model is at most ALPHABET squared numbers, which is what passes through the driver. The
 random model is mixed with equal chances, so that random strings of other alphabets count too.
 
@@ -37,7 +38,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-SMOOTHING = 1.0
+BACK_OFF = 10.0
 UNIT = 10_000  # log ratios are whole numbers of this fraction, so that sums are exact
 # A token is random if its ratio is e^10 and each pair speaks for it by e^0.25 on average.
 MIN_TOTAL, MIN_EACH = 10 * UNIT, UNIT // 4
@@ -100,15 +101,22 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(texts: DataFrame) -> list[int]:
     """Log ratios of character pairs, random against ordinary, as a flat table in UNITs."""
     tokens = texts.select(F.explode("tokens").alias("t")).select(F.col("t.secret").alias("secret"), F.col("t.text").alias("text"))
+    plain = ~F.col("text").rlike("[0-9]") | F.col("text").rlike("^[0-9]+$")
+    tokens = tokens.where(F.col("secret") | plain)
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substr(F.col("text"), i, F.lit(2))))
     counted = tokens.select("secret", pair.alias("pair")).groupBy("secret", "pair").agg(F.count("*").alias("n"))
     counts = {(r["secret"], r["pair"]): r["n"] for r in counted.collect()}  # at most 2 x 66 x 66 rows
     size = len(ALPHABET)
+    # How often each character follows any; what a first character has not shown yet backs off to it.
+    follow = {k: {b: 1.0 + sum(counts.get((k, a + b), 0) for a in ALPHABET) for b in ALPHABET} for k in (True, False)}
+    whole = {k: sum(follow[k].values()) for k in follow}
     ratios = []
     for a in ALPHABET:
-        total = {k: sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (True, False)}
+        total = {k: sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in follow}
         for b in ALPHABET:
-            chance = {k: (counts.get((k, a + b), 0) + SMOOTHING) / (total[k] + SMOOTHING * size) for k in total}
+            chance = {
+                k: (counts.get((k, a + b), 0) + BACK_OFF * follow[k][b] / whole[k]) / (total[k] + BACK_OFF) for k in follow
+            }
             random = (chance[True] + 1 / size) / 2
             ratios.append(round(UNIT * math.log(random / chance[False])))
     return ratios
