@@ -56,7 +56,7 @@ def read_payload_files(spark: SparkSession, root: str, manifest: DataFrame) -> D
     relative = F.regexp_replace("path", r"^file:/*", "/")
     base = root.rstrip("/") + "/"
     keyed = files.select(
-        F.substring(relative, len(base) + 1, 10_000).alias("path"), "content", "length"
+        F.substr(relative, F.lit(len(base) + 1)).alias("path"), "content", "length"
     )
     return manifest.join(keyed, "path")
 

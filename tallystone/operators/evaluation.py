@@ -50,8 +50,8 @@ def scope_note(
     spans = picks.agg(F.count_distinct("as_of").alias("n"), F.max("as_of").alias("latest"))
     text = F.format_string(
         "the ledger spans %d pick dates; grading only the latest (%s), because one "
-        "forward-price snapshot cannot fairly grade picks from different dates. Pass --vintage "
-        "or --run-id to grade another, and grade each vintage against its own forward window.",
+        "forward-price snapshot cannot fairly grade picks from different dates. Pass vintage "
+        "or run_id to grade another, and grade each vintage against its own forward window.",
         "n",
         F.col("latest").cast("string"),
     )

@@ -13,9 +13,6 @@ from tallystone.operators.evaluation import feature_names
 from tallystone.session import materialize, shared_folder
 
 
-ROWS_PER_PARTITION = 200_000
-
-
 class InsufficientHistory(RuntimeError):
     """Too few labelled picks to train on."""
 
@@ -54,9 +51,8 @@ def gbdt_book(
     # Feature names come from the fixed metric vocabulary, so this list is short.
     names = [r.feature for r in feature_names(stored).collect()]
     shared_folder(candidates.sparkSession)
-    # Each round runs several short jobs over the history: few, cached partitions.
-    parts = count // ROWS_PER_PARTITION + 1
-    vectors = _vectors(stored, names, ["forward_return"]).coalesce(parts).persist()
+    # Each round runs several short jobs over the history, so it is kept; a lost part is read again.
+    vectors = _vectors(stored, names, ["forward_return"]).persist()
     model = GBTRegressor(
         featuresCol="vector",
         labelCol="forward_return",

@@ -1,7 +1,7 @@
 """Exact ranks and percentiles whose work is split even when one group is huge.
 
-Groups up to ``hot_rows`` go through the plain window or aggregate. Larger groups are cut
-into ranges at boundaries taken from a hash sample of the group; every range is ordered on
+Groups up to ``hot_rows`` go through the plain window. Larger groups are cut into ranges, as many as
+their rows ask for, at boundaries taken from a hash sample of the group; every range is ordered on
 its own task and shifted by the size of the ranges below it. The sample depends only on the
 data, so a recomputed task finds the same boundaries, and the result is exact for any choice
 of boundaries.
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
-RANGES = 128
-SAMPLE_ROWS = 4096
-# Tables of hot groups are broadcast up to this many groups (at most 128 narrow rows each);
-# beyond it the joins are left to adaptive execution, which splits skewed keys.
+# Rows that a range should hold, and sampled rows that place each boundary.
+RANGE_ROWS = 1_000_000
+SAMPLES_PER_RANGE = 32
+# Tables of one row for a hot group are broadcast up to this many groups; beyond it the joins are
+# left to adaptive execution, which splits skewed keys.
 BROADCAST_GROUPS = 2_000
 
 
@@ -39,28 +40,42 @@ def _ranges(
     df: DataFrame, keys: list[str], order: Column, sizes: DataFrame, groups: int
 ) -> DataFrame:
     """Add __range, the index of the value range of each row inside its group."""
-    sized = match_keys(df.withColumn("__o", order), _per_group(sizes, groups), keys, "inner")
+    ranges = F.greatest(F.lit(2), F.ceil(F.col("__n") / F.lit(float(RANGE_ROWS))).cast("int"))
+    ranged = sizes.withColumn("__k", ranges)
+    sized = match_keys(df.withColumn("__o", order), _per_group(ranged, groups), keys, "inner")
     chosen = (F.pmod(F.xxhash64("__o"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < (
-        F.lit(float(SAMPLE_ROWS)) / F.col("__n")
+        SAMPLES_PER_RANGE * F.col("__k") / F.col("__n")
     )
+    k, chunk = F.col("__k"), F.ceil(F.sqrt(F.col("__k"))).cast("int")
     edges = (
         sized.where(chosen)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("__o")).alias("__s"))
+        .agg(F.array_sort(F.collect_list("__o")).alias("__s"), F.max("__k").alias("__k"))
+        .withColumn(
+            "__e",
+            F.transform(
+                F.sequence(F.lit(1), k - 1),
+                lambda i: F.try_element_at(F.col("__s"), F.ceil(i * F.size("__s") / k).cast("int")),
+            ),
+        )
+        # Boundaries in chunks of the square root of their number, so that a row looks at two short lists.
+        .withColumn("__chunk", chunk)
         .select(
             *keys,
+            "__chunk",
             F.transform(
-                F.sequence(F.lit(1), F.lit(RANGES - 1)),
-                lambda i: F.try_element_at(
-                    F.col("__s"), (F.ceil(i * F.size("__s") / RANGES)).cast("int")
-                ),
-            ).alias("__e"),
+                F.sequence(F.lit(0), F.ceil((k - 1) / F.col("__chunk")).cast("int") - 1),
+                lambda j: F.slice(F.col("__e"), j * F.col("__chunk") + 1, F.col("__chunk")),
+            ).alias("__parts"),
         )
     )
-    placed = match_keys(sized, _per_group(edges, groups), keys, "left")
-    index = F.size(F.filter(F.col("__e"), lambda e: e < F.col("__o")))
-    return placed.withColumn("__range", F.when(F.col("__e").isNull(), 0).otherwise(index)).drop(
-        "__e", "__n"
+    placed = match_keys(sized.drop("__k"), edges if groups > 1 else F.broadcast(edges), keys, "left")
+    passed = F.size(F.filter(F.col("__parts"), lambda p: F.element_at(p, -1) < F.col("__o")))
+    placed = placed.withColumn("__passed", passed)
+    inside = F.filter(F.get(F.col("__parts"), F.col("__passed")), lambda e: e < F.col("__o"))
+    index = F.col("__passed") * F.col("__chunk") + F.coalesce(F.array_size(inside), F.lit(0))
+    return placed.withColumn("__range", F.when(F.col("__parts").isNull(), 0).otherwise(index)).drop(
+        "__parts", "__passed", "__chunk", "__n"
     )
 
 
@@ -127,53 +142,43 @@ def group_percentiles(
     probabilities: dict[str, float],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Exact linear-interpolation percentiles per group, one DOUBLE column per name."""
-    names = list(probabilities)
-    narrow = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    flag = (
-        narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    )
-
-    def aggregate(part: DataFrame) -> DataFrame:
-        wanted = F.percentile("__v", F.array(*[F.lit(p) for p in probabilities.values()]))
-        return (
-            part.groupBy(*keys)
-            .agg(wanted.alias("__p"))
-            .select(*keys, *[F.col("__p")[i].alias(n) for i, n in enumerate(names)])
-        )
-
-    groups = flag.count()
-    if groups == 0:
-        return aggregate(narrow)
-    flag = _per_group(flag, groups)
-    flagged = match_keys(narrow, flag, keys, "left")
-    plain = aggregate(flagged.where(F.col("__n").isNull()))
+    """Exact linear-interpolation percentiles per group, one DOUBLE column per name.
 
+    Whatever a group's size, each percentile is made of the same two order statistics by the same
+    arithmetic: lo + (position - floor(position)) * (hi - lo). Only the running count that finds
+    them is split for hot groups.
+    """
     # Equal values are one weighted row, so a value shared by many rows cannot pile up.
     distinct = (
-        flagged.where(F.col("__n").isNotNull())
-        .groupBy(*keys, "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__w"))
     )
-    counted = _running(distinct, keys, F.struct("__v"), flag, groups, "__c")
-    running = match_keys(counted, flag, keys, "inner")
+    sizes = distinct.groupBy(*keys).agg(
+        F.sum("__w").alias("__n"), F.count(F.lit(1)).alias("__values")
+    )
+    hot = sizes.where(F.col("__values") > hot_rows).drop("__values")
+    groups = hot.count()
+    cold = distinct
+    if groups:
+        flagged = match_keys(distinct, _per_group(hot.withColumnRenamed("__n", "__hot"), groups), keys, "left")
+        cold = flagged.where(F.col("__hot").isNull()).drop("__hot")
+    order = Window.partitionBy(*keys).orderBy("__v")
+    counted = cold.withColumns({
+        "__upto": F.sum("__w").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "__n": F.sum("__w").over(Window.partitionBy(*keys)),
+    }).select(*keys, "__v", "__w", "__upto", "__n")
+    if groups:
+        of_hot = flagged.where(F.col("__hot").isNotNull()).drop("__hot").withColumnRenamed("__w", "__c")
+        split = match_keys(_running(of_hot, keys, F.struct("__v"), hot, groups, "__c"), hot, keys, "inner")
+        counted = counted.unionByName(split.select(*keys, "__v", "__w", "__upto", "__n"))
     first = F.col("__upto") - F.col("__w")
-    parts = []
-    for i, p in enumerate(probabilities.values()):
+    parts, columns = [], []
+    for i, (name, p) in enumerate(probabilities.items()):
         position = F.lit(p) * (F.col("__n") - 1)
         for side, target in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             held = (first <= target) & (target < F.col("__upto"))
             parts.append(F.max(F.when(held, F.col("__v"))).alias(f"__{side}{i}"))
-    picked = running.groupBy(*keys, "__n").agg(*parts)
-    hot = picked.select(
-        *keys,
-        *[
-            (
-                F.col(f"__lo{i}")
-                + (F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1)))
-                * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
-            ).alias(n)
-            for i, (n, p) in enumerate(probabilities.items())
-        ],
-    )
-    return plain.unionByName(hot)
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        columns.append((low + (position - F.floor(position)) * (high - low)).alias(name))
+    return counted.groupBy(*keys, "__n").agg(*parts).select(*keys, *columns)

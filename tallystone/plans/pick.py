@@ -13,12 +13,6 @@ from tallystone.plans.screen import run_screen
 from tallystone.session import materialize
 from tallystone.sources.ledger import append_picks
 
-NO_PRICES = (
-    "No reference prices supplied: the EV/EBIT-decile baseline is empty (it needs prices) and "
-    "every pick is ungradeable until a forward price is given at score time. Pass "
-    "--price/--prices to pre-register a real book."
-)
-
 
 @dataclass(frozen=True)
 class PickRun:

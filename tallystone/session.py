@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# Tables this session has stored, for release().
+STORED: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -36,10 +38,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder. A local session without one gets a temporary folder.
+
+    On a cluster a folder of one machine would hold a part of each table, so there it must be set.
+    """
     folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF
     )
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="spark-tallystone-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, folder)
@@ -61,9 +68,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables stored so far, once their results have been read or written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while STORED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(STORED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core when a scan has fewer splits than cores; larger scans stay as they are.
 

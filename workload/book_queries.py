@@ -9,10 +9,10 @@ from tallystone.operators import books as B
 from tallystone.operators import evaluation as E
 from tallystone.operators.learned import InsufficientHistory, gbdt_book
 from tallystone.plans.pick import evaluate, run_pick
-from tallystone.session import fresh_path, materialize
+from tallystone.session import fresh_path
 from tallystone.sources import ledger as LG
 from workload.screen_queries import profiles, r6, screen
-from workload.views import VIEWS, oracle, stored, view, wide_snapshots
+from workload.views import VIEWS, oracle, view, wide_snapshots
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ SQL["book_top_composite"] = oracle("SELECT entity_id, CAST(rank AS INT) AS rank,
 
 
 def book_ev_ebit_decile(spark, sf_dir):
-    return B.ev_ebit_decile(materialize(screen(spark, sf_dir).ranked, "candidates")).select("entity_id", "rank", "score")
+    return B.ev_ebit_decile(screen(spark, sf_dir).ranked).select("entity_id", "rank", "score")
 
 
 Q["book_ev_ebit_decile"] = book_ev_ebit_decile
@@ -143,11 +143,11 @@ _STATS = ("portfolio_return", "mean", "median", "stdev", "minimum", "p10", "p25"
 
 
 def _evaluation(spark, sf_dir):
-    return evaluate(E.scope_to_vintage(materialize(_picks(spark, sf_dir), "picks")), view(spark, sf_dir, "v_forward"))
+    return evaluate(E.scope_to_vintage(_picks(spark, sf_dir)), view(spark, sf_dir, "v_forward"))
 
 
 def vintage_scope(spark, sf_dir):
-    p = materialize(_picks(spark, sf_dir), "picks")
+    p = _picks(spark, sf_dir)
     scoped = E.dedup_last(E.scope_to_vintage(p)).groupBy("strategy").agg(
         F.count(F.lit(1)).alias("picks"), F.max("ordinal").alias("last_ordinal")
     )
@@ -159,7 +159,7 @@ def vintage_scope(spark, sf_dir):
 Q["vintage_scope"] = vintage_scope
 SQL["vintage_scope"] = oracle("""
 SELECT strategy, count(*) AS picks, max(ordinal) AS last_ordinal FROM {o_scored} GROUP BY strategy
-UNION ALL SELECT 'the ledger spans 2 pick dates; grading only the latest (2026-02-05), because one forward-price snapshot cannot fairly grade picks from different dates. Pass --vintage or --run-id to grade another, and grade each vintage against its own forward window.', 0, 0
+UNION ALL SELECT 'the ledger spans 2 pick dates; grading only the latest (2026-02-05), because one forward-price snapshot cannot fairly grade picks from different dates. Pass vintage or run_id to grade another, and grade each vintage against its own forward window.', 0, 0
 UNION ALL SELECT 'run-false', count(*), max(ordinal) FROM {v_ledger} WHERE run_id = 'run-false'
 """)
 
@@ -176,14 +176,14 @@ SQL["scored_picks"] = oracle("SELECT strategy, entity_id, ordinal, exit_price, g
 
 def strategy_scores(spark, sf_dir):
     return _evaluation(spark, sf_dir).scores.select(
-        "strategy", "n_picks", "n_scored", "ungradeable", *[r6(c).alias(c) for c in _STATS], F.substring("note", 1, 20).alias("note")
+        "strategy", "n_picks", "n_scored", "ungradeable", *[r6(c).alias(c) for c in _STATS], "note"
     )
 
 
 Q["strategy_scores"] = strategy_scores
 SQL["strategy_scores"] = oracle(
     "SELECT strategy, n_picks, n_scored, ungradeable, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _STATS)
-    + ", CASE WHEN n_scored = 0 THEN 'nothing in this boo' || 'k' WHEN mean - median > 0.02 THEN 'mean sits well above' END AS note FROM {o_scores}"
+    + ", CASE WHEN n_scored = 0 THEN 'nothing in this book could be graded (missing reference or forward prices).' WHEN mean - median > 0.02 THEN 'mean sits well above median: the book''s return leans on a few big winners (Bessembinder skew), so the median is the more honest summary.' END AS note FROM {o_scores}"
 )
 
 
@@ -264,16 +264,16 @@ UNION ALL SELECT 'a,b', 0, 0
 def book_gbdt(spark, sf_dir):
     """Boosted baseline trained on the graded picks of every vintage.
 
-    Tables with too little history give no rows: the baseline refuses to train on them.
+    A table with too little history gives one row with the reason in place of a name.
     """
-    picks = materialize(_picks(spark, sf_dir), "picks")
+    picks = _picks(spark, sf_dir)
     scored = evaluate(picks, view(spark, sf_dir, "v_forward")).scored
     newest = E.scope_to_vintage(scored).where("strategy = 'universe_ew'")
     candidates = newest.select("entity_id", F.col("features").alias("metric_values"))
     try:
-        return gbdt_book(candidates, E.labeled_observations(scored), top=20, rounds=40)
-    except InsufficientHistory:
-        return scored.where("1 = 0").select("strategy", "entity_id", F.col("net_return").alias("score"))
+        return gbdt_book(candidates, E.labeled_observations(scored), top=20)
+    except InsufficientHistory as short:
+        return spark.range(1).select(F.lit("gbdt").alias("strategy"), F.lit(str(short)).alias("entity_id"), F.lit(None).cast("double").alias("score"))
 
 
 Q["book_gbdt"] = book_gbdt

@@ -14,7 +14,7 @@ from workload.book_queries import _picks
 from workload.normalize_queries import _inputs
 from workload.screen_queries import r6
 from workload.text_queries import _V, _verified
-from workload.views import VIEWS, oracle, stored, view
+from workload.views import VIEWS, oracle, view
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -245,7 +245,7 @@ FROM (SELECT *, SERIES(0, 3) AS k FROM {supplier}) t
 
 
 def report_tree(spark, sf_dir):
-    entries, briefs = RP.tree_snapshot(stored(spark, sf_dir, "v_tree").select("day", "file", "value"))
+    entries, briefs = RP.tree_snapshot(view(spark, sf_dir, "v_tree").select("day", "file", "value"))
     e = entries.select("day", F.lit("research").alias("kind"), "entity_id", "json", "status", F.col("detail").isNotNull().alias("has_detail"))
     b = briefs.select("day", F.lit("investigate").alias("kind"), F.col("subject").alias("entity_id"), "json", F.lit(None).cast("string").alias("status"), F.lit(True).alias("has_detail"))
     return e.unionByName(b)

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
 from tallystone.operators import normalize as NZ
-from workload.views import VIEWS, oracle, stored, view
+from workload.views import VIEWS, oracle, view
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 
 
 def _inputs(spark, sf_dir):
-    return stored(spark, sf_dir, "v_raw_facts"), view(spark, sf_dir, "v_filing_headers")
+    return view(spark, sf_dir, "v_raw_facts"), view(spark, sf_dir, "v_filing_headers")
 
 
 _MAP = ", ".join(

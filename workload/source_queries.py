@@ -171,14 +171,16 @@ SELECT c_custkey AS k, '{"hits":{"total":{"value":' || CASE WHEN c_custkey % 10
   '{"0":{"cik_str":' || CAST(c_custkey AS STRING) || ',"ticker":"T' || CAST(c_custkey AS STRING) || '","title":"' || c_name || '"},"1":{"ticker":"U"}}' AS tickers
 FROM {customer}
 """
-Q["search_hits"] = lambda spark, sf_dir: L.search_hits(
+Q["search_hits"] = lambda spark, sf_dir: L.search_hits(view(spark, sf_dir, "v_search"), keys=["k"])
+Q["search_hits_limit"] = lambda spark, sf_dir: L.search_hits(  # the limit is the feature
     view(spark, sf_dir, "v_search"), limit=2, keys=["k"]
 )
-SQL["search_hits"] = oracle("""
+SQL["search_hits_limit"] = oracle("""
 SELECT k, '0001-26-' || k AS accession, CAST(k AS VARCHAR) AS cik, c_name AS company, CASE WHEN k % 2 = 0 THEN '10-K' ELSE '8-K' END AS form, '2026-01-02' AS filed, 'doc.htm' AS doc
 FROM {v_search} JOIN customer ON c_custkey = k WHERE k % 10 <> 9
 UNION ALL SELECT k, 'bare', '', '', '10-K', '', '' FROM {v_search} WHERE k % 10 <> 9
 """)
+SQL["search_hits"] = SQL["search_hits_limit"] + " UNION ALL SELECT k, 'x', '', '', '', '', 'y:z' FROM v_search WHERE k % 10 <> 9"
 Q["search_hits_by_form"] = lambda spark, sf_dir: L.search_hits(
     view(spark, sf_dir, "v_search"), forms=["10-K"], keys=["k"]
 )

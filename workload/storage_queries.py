@@ -9,7 +9,7 @@ from tallystone.operators import archive as A
 from tallystone.operators import fx as X
 from tallystone.operators import ingest as I
 from tallystone.session import fresh_path
-from workload.views import HEADER, VIEWS, oracle, stored, view
+from workload.views import HEADER, VIEWS, oracle, view
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -94,7 +94,7 @@ FROM m GROUP BY ROLLUP (source)
 
 
 def harvest_counters(spark, sf_dir):
-    listed = stored(spark, sf_dir, "v_arrivals")
+    listed = view(spark, sf_dir, "v_arrivals")
     fetched = listed.where(F.col("arrival") % 11 != 5).select("arrival", A.digest("content").alias("content_sha256"))
     held = _held(spark, sf_dir)
     counters = A.day_counters(A.harvest_outcomes(listed, fetched, held)).withColumn("mode", F.lit("skip"))
@@ -125,7 +125,7 @@ FROM ({_outcome_sql('skip')} UNION ALL {_outcome_sql('refetch')}) t GROUP BY ALL
 
 # ------------------------------------------------------------------ stored tables
 def replace_raw_facts(spark, sf_dir):
-    facts = stored(spark, sf_dir, "v_raw_facts")
+    facts = view(spark, sf_dir, "v_raw_facts")
     year = F.substring_index("accession", "-", -1).cast("int")
     existing = facts.where(year <= 1999)
     batch = facts.where((year >= 1999) & (F.col("fact_ordinal") < 8)).withColumn("value", F.col("value") + 1)
@@ -143,7 +143,7 @@ FROM (SELECT accession, value AS v FROM t WHERE y <= 1998 UNION ALL SELECT acces
 
 
 def upsert_snapshots(spark, sf_dir):
-    snap = stored(spark, sf_dir, "v_snap").select(*HEADER, "revenue").withColumn(
+    snap = view(spark, sf_dir, "v_snap").select(*HEADER, "revenue").withColumn(
         "fiscal_period", F.when(F.col("entity_id").cast("long") % 3 != 0, F.col("fiscal_period"))
     )
     existing = snap.where("fiscal_year <= 2000")
@@ -165,7 +165,7 @@ def upsert_facts(spark, sf_dir):
     """Snapshot replacement on the fact table: concepts that vanish from a period go away."""
     from workload.views import long_facts
 
-    snap = stored(spark, sf_dir, "v_snap")
+    snap = view(spark, sf_dir, "v_snap")
     key = ["entity_id", "period_end", "fiscal_period"]
     facts = long_facts(snap).select(*key, "concept", "value", "accession")
     batch_headers = snap.where("fiscal_year >= 2000").select(*key, "accession")
@@ -214,13 +214,15 @@ FROM {v_manifest} m
 """
 
 
-def ingest_todo(spark, sf_dir):
-    todo = I.ingest_todo(view(spark, sf_dir, "v_manifest"), view(spark, sf_dir, "v_ingested"), limit=50)
+def _todo(spark, sf_dir, limit=None):
+    todo = I.ingest_todo(view(spark, sf_dir, "v_manifest"), view(spark, sf_dir, "v_ingested"), limit=limit)
     return todo.select("doc_id", "source", "position")
 
 
-Q["ingest_todo"] = ingest_todo
-SQL["ingest_todo"] = oracle("SELECT doc_id, source, position FROM {o_classified} WHERE state = 'todo' ORDER BY position LIMIT 50")
+Q["ingest_todo"] = _todo
+SQL["ingest_todo"] = oracle("SELECT doc_id, source, position FROM {o_classified} WHERE state = 'todo'")
+Q["ingest_todo_limit"] = lambda spark, sf_dir: _todo(spark, sf_dir, 50)  # the limit is the feature
+SQL["ingest_todo_limit"] = SQL["ingest_todo"] + " ORDER BY position LIMIT 50"
 
 
 def ingest_counters(spark, sf_dir):
@@ -259,7 +261,7 @@ FROM {orders}
 
 
 def _requests(spark, sf_dir):
-    return stored(spark, sf_dir, "v_fx_requests")
+    return view(spark, sf_dir, "v_fx_requests")
 
 
 def _fx_out(df, *days):
@@ -270,22 +272,22 @@ def _fx_out(df, *days):
 
 
 Q["fx_convert_instant"] = lambda spark, sf_dir: _fx_out(
-    X.convert_instant(_requests(spark, sf_dir), stored(spark, sf_dir, "v_fx")), "on"
+    X.convert_instant(_requests(spark, sf_dir), view(spark, sf_dir, "v_fx")), "on"
 )
 Q["fx_convert_duration"] = lambda spark, sf_dir: _fx_out(
-    X.convert_duration(_requests(spark, sf_dir), stored(spark, sf_dir, "v_fx")), "start", "end"
+    X.convert_duration(_requests(spark, sf_dir), view(spark, sf_dir, "v_fx")), "start", "end"
 )
 
 
 def fx_period_end(spark, sf_dir):
-    rates = stored(spark, sf_dir, "v_fx")
+    rates = view(spark, sf_dir, "v_fx")
     asked = _requests(spark, sf_dir).select(F.upper(F.trim("from_ccy")).alias("currency"), "on").distinct()
     out = X.period_end_rates(asked, rates, "currency", "on", "rate")
     return out.select("currency", F.col("on").cast("string").alias("on"), (F.round("rate", 6) + F.lit(0.0)).alias("rate"))
 
 
 def fx_period_average(spark, sf_dir):
-    rates = stored(spark, sf_dir, "v_fx")
+    rates = view(spark, sf_dir, "v_fx")
     asked = _requests(spark, sf_dir).select(F.upper(F.trim("from_ccy")).alias("currency"), "start", "end").distinct()
     out = X.period_average_rates(asked, rates, "currency", "start", "end", "rate")
     return out.select(

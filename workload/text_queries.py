@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import text as T
 from tallystone.operators import evidence as EV
-from tallystone.session import materialize
 from workload.screen_queries import r6, report
 from workload.views import VIEWS, oracle, view
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 
-# Filings: documents with one planted sentence, a hundred entities.
+# Filings: documents with one planted sentence, eight filings an entity.
 VIEWS["v_filings"] = """
-SELECT CAST(doc_id % 100 AS STRING) AS entity_id, 'A' || CAST(doc_id AS STRING) AS accession, doc_id AS position, doc_id,
+SELECT CAST(CAST((doc_id - doc_id % 8) / 8 AS BIGINT) AS STRING) AS entity_id, 'A' || CAST(doc_id AS STRING) AS accession, doc_id AS position, doc_id,
   make_date(2026, CAST(1 + doc_id % 7 AS INT), CAST(1 + doc_id % 28 AS INT)) AS harvest_day,
   CASE WHEN doc_id % 6 <> 1 THEN make_date(2025, CAST(1 + doc_id % 12 AS INT), CAST(1 + doc_id % 27 AS INT)) END AS filing_date,
   text || ' ' || CASE doc_id % 11 WHEN 0 THEN 'There is substantial doubt about our ability to continue as a going concern.'
@@ -39,7 +38,7 @@ SQL["newest_filings"] = oracle("SELECT entity_id, accession, place FROM {o_pack}
 
 
 def _pack(spark, sf_dir):
-    return materialize(EV.newest_filings(view(spark, sf_dir, "v_filings")), "pack")
+    return EV.newest_filings(view(spark, sf_dir, "v_filings"))
 
 
 def anonymized_text(spark, sf_dir):
@@ -75,7 +74,7 @@ SELECT entity_id, doc_id AS finding_ordinal, CASE doc_id % 3 WHEN 0 THEN 'diluti
   ' claim ' || CAST(doc_id AS STRING) || ' ' AS claim,
   CASE doc_id % 8 WHEN 1 THEN substr(text, 21, 60) || ' zzz qqq www' WHEN 3 THEN ' ' || substr(text, 1, 7) || ' ' WHEN 4 THEN lower(replace(substr(text, 21, 60), ' ', '  '))
     WHEN 5 THEN 'invented words that no filing holds' WHEN 7 THEN replace(substr(text, 21, 60), ' ', ' - ') ELSE substr(text, 21, 60) END AS quoted_span,
-  CASE doc_id % 8 WHEN 2 THEN 'Z' || accession WHEN 6 THEN 'A' || CAST(doc_id + 100 AS STRING) ELSE accession END AS source_accession,
+  CASE doc_id % 8 WHEN 2 THEN 'Z' || accession WHEN 6 THEN 'A' || CAST(doc_id + 1 AS STRING) ELSE accession END AS source_accession,
   CASE doc_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity
 FROM {v_filings}
 """
@@ -98,17 +97,17 @@ SELECT entity_id, finding_ordinal, category, claim, quoted_span, source_accessio
 FROM (SELECT *, CASE WHEN text IS NULL OR length(q) < 12 THEN NULL WHEN contains(text, q) THEN 'exact match' WHEN contains(ft, {_FOLD('q')}) THEN 'match after whitespace normalisation'
         WHEN {_OVERLAP} THEN 'high token-overlap match' END AS m
       FROM (SELECT f.*, regexp_replace(f.quoted_span, '^{_SPACES}|{_SPACES}$', '', 'g') AS q, p.text, {_FOLD('p.text')} AS ft,
-              EXISTS (SELECT 1 FROM o_pack o WHERE o.entity_id = f.entity_id AND contains({_FOLD('o.text')}, {_FOLD('f.quoted_span')})) AS elsewhere
-            FROM v_findings f LEFT JOIN o_pack p ON p.entity_id = f.entity_id AND p.accession = f.source_accession) a) b
+              EXISTS (SELECT 1 FROM v_filings o WHERE o.entity_id = f.entity_id AND contains({_FOLD('o.text')}, {_FOLD('f.quoted_span')})) AS elsewhere
+            FROM v_findings f LEFT JOIN v_filings p ON p.entity_id = f.entity_id AND p.accession = f.source_accession) a) b
 """
 
 
-_VERIFIED_CTES = oracle("SELECT * FROM {v_findings} JOIN {o_pack} ON true JOIN {v_skeptic} ON true").rsplit("\nSELECT * FROM v_findings JOIN", 1)[0]
+_VERIFIED_CTES = oracle("SELECT * FROM {v_findings} JOIN {v_filings} ON true JOIN {v_skeptic} ON true").rsplit("\nSELECT * FROM v_findings JOIN", 1)[0]
 _V = _VERIFIED_CTES + f",\no_verified AS ({_verified_sql()})\n"
 
 
 def _verified(spark, sf_dir):
-    return EV.verify_findings(view(spark, sf_dir, "v_findings"), _pack(spark, sf_dir))
+    return EV.verify_findings(view(spark, sf_dir, "v_findings"), view(spark, sf_dir, "v_filings"))
 
 
 Q["verify_findings"] = _verified

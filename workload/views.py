@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.operators.snapshots import attach_facts
-from tallystone.session import configure, materialize, spread
+from tallystone.session import configure, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -226,11 +226,6 @@ def oracle(sql: str) -> str:
 
 
 # ------------------------------------------------------------------ shared frames
-def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view written once for a query that reads it several times."""
-    return materialize(view(spark, sf_dir, name), name)
-
-
 def long_facts(snap: DataFrame) -> DataFrame:
     """Long canonical facts: one row per (entity, period, concept) that has a value."""
     long = snap.unpivot(list(HEADER), list(PRESENT_CONCEPTS), "concept", "value")
@@ -247,5 +242,5 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header rows with concept columns, rebuilt from the long facts."""
-    snap = stored(spark, sf_dir, "v_snap")
+    snap = view(spark, sf_dir, "v_snap")
     return attach_facts(snap.select(*HEADER), long_facts(snap))
