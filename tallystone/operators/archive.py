@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tallystone import schemas
 from tallystone.functions.columns import path_component
 from tallystone.operators.ranking import with_rank
+from tallystone.session import materialize
 
 DOC_KEY = ["source", "doc_id"]
 CONTENT_KEY = [*DOC_KEY, "content_sha256"]
@@ -44,10 +46,12 @@ def read_manifest(
 
 
 def read_payloads(spark: SparkSession, payload_path: str, manifest: DataFrame) -> DataFrame:
-    """Payload bytes of manifest rows; the stored table is pruned by source and day."""
+    """Payload bytes of manifest rows; the stored table is pruned by run, source and day.
+
+    Payloads of a run that failed before its manifest rows were written are never read.
+    """
     payloads = spark.read.parquet(payload_path)
-    keys = ["source", "harvest_day", "doc_id", "version"]
-    return manifest.join(payloads, keys)
+    return manifest.join(payloads, ["run", "source", "harvest_day", "doc_id", "version"])
 
 
 def read_payload_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
@@ -122,13 +126,16 @@ def plan_documents(batch: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def put_documents(batch: DataFrame, manifest_path: str, payload_path: str, manifest: DataFrame) -> None:
-    """Append new versions. Payloads go first, so a manifest row never lacks its payload."""
-    from tallystone.session import materialize
+    """Append new versions under a run of their own, which their manifest rows name.
 
-    planned = materialize(plan_documents(batch, manifest), "documents")
-    planned.select("source", "harvest_day", "doc_id", "version", "content").write.mode(
+    Payloads go first, so a manifest row never lacks its payload; a rerun after a failure gets
+    another run, so nothing is read twice.
+    """
+    run = uuid.uuid4().hex
+    planned = materialize(plan_documents(batch, manifest), "documents").withColumn("run", F.lit(run))
+    planned.select("run", "source", "harvest_day", "doc_id", "version", "content").write.mode(
         "append"
-    ).partitionBy("source", "harvest_day").parquet(payload_path)
+    ).partitionBy("run", "source", "harvest_day").parquet(payload_path)
     fields = [c for c in planned.columns if c not in ("content", "arrival")]
     planned.select(
         *fields, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ingested_at")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallystone import schemas
 from tallystone.functions.columns import slug
+from tallystone.functions.text import strip
 
 DISCLAIMER = (
     "> *Not investment advice. The LLM can veto a screened candidate; it can never recommend "
@@ -78,34 +79,45 @@ def write_report_json(reports: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ report as Markdown
-def _lines(rows: DataFrame, section: int, position: Column, *texts: Column | str) -> DataFrame:
-    """Rows of (entity_id, section, position, line_no, line)."""
+def _lines(
+    rows: DataFrame, section: int, part: int | Column, position: Column | None, *texts: Column | str
+) -> DataFrame:
+    """Rows of (entity_id, section, part, position, line_no, line)."""
     lines = F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts])
     return rows.select(
         "entity_id",
         F.lit(section).alias("section"),
-        position.cast("long").alias("position"),
+        (F.lit(part) if isinstance(part, int) else part).cast("int").alias("part"),
+        (F.lit(0) if position is None else position).cast("long").alias("position"),
         F.posexplode(lines).alias("line_no", "line"),
     ).where(F.col("line").isNotNull())
 
 
+LINE_ORDER = ["entity_id", "section", "part", "position", "line_no"]
+
+
 def markdown_lines(
     memos: DataFrame,
     verified: DataFrame,
     veto_reasons: DataFrame,
     points: DataFrame,
+    refuted: DataFrame,
+    warnings: DataFrame,
     run_id: str,
     model: str,
+    generated: str,
 ) -> DataFrame:
-    """The report of every entity as ordered lines.
+    """The report of every entity as lines, ordered by LINE_ORDER.
 
     ``memos``: entity_id, name, verdict, headline, thesis, disqualifying, reasoning.
     ``verified``: findings with verified and reason. ``points``: entity_id, stance, position, point.
+    ``refuted`` and ``warnings``: entity_id, position, text.
     """
-    zero = F.lit(0)
     veto = F.col("verdict") == "veto"
+    entities = memos.select("entity_id")
+    bullet = F.concat(F.lit("- "), F.col("text"))
     title = _lines(
-        memos, 0, zero,
+        memos, 0, 0, None,
         F.concat(F.lit("# "), F.coalesce("name", "entity_id")),
         "",
         F.concat(F.lit("**Entity:** `"), "entity_id", F.lit("`  ")),
@@ -115,6 +127,7 @@ def markdown_lines(
             F.lit("  "),
         ),
         f"**Model:** {model}  ",
+        f"**Generated:** {generated}  ",
         f"**Run:** `{run_id}`",
         "",
         DISCLAIMER,
@@ -122,47 +135,49 @@ def markdown_lines(
         "## Headline", "", F.col("headline"), "",
         "## Thesis", "", F.col("thesis"), "",
     )
-    veto_head = _lines(memos.where(veto), 1, zero, "## Veto reasons", "")
+    vetoed = memos.where(veto)
+    veto_head = _lines(vetoed, 1, 0, None, "## Veto reasons", "")
+    reasons = veto_reasons.join(vetoed.select("entity_id"), "entity_id", "left_semi")
     veto_rows = _lines(
-        veto_reasons, 1, F.col("part") * 1_000_000_000 + F.col("position") + 1,
-        F.concat(F.lit("- ❌ "), "reason"),
+        reasons, 1, F.col("part") + 1, F.col("position"), F.concat(F.lit("- ❌ "), "reason")
     )
+    veto_end = _lines(vetoed, 1, 9, None, "")
     kept = verified.where("verified")
-    counts = memos.select("entity_id").join(
+    counts = entities.join(
         verified.groupBy("entity_id").agg(
             F.count_if("verified").alias("kept"), F.count_if(~F.col("verified")).alias("dropped")
         ),
         "entity_id",
         "left",
-    )
+    ).select("entity_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "dropped")])
+    none = F.col("kept") == 0
     findings_head = _lines(
-        counts, 2, F.lit(-1),
-        F.format_string("## Cited findings (%d)", F.coalesce("kept", zero)),
+        counts, 2, 0, None,
+        F.format_string("## Cited findings (%d)", "kept"),
         "",
-        F.when(F.coalesce("kept", zero) == 0, F.lit(NO_FINDINGS)),
+        F.when(none, F.lit(NO_FINDINGS)),
+        F.when(none, F.lit("")),
     )
     finding_rows = _lines(
-        kept, 2, F.col("finding_ordinal"),
+        kept, 2, 1, F.col("finding_ordinal"),
         F.concat(F.lit("### ["), "severity", F.lit("] "), "category"),
         "",
-        F.trim("claim"),
+        strip(F.col("claim")),
         "",
         F.concat(F.lit("> "), "quoted_span"),
         ">",
         F.concat(F.lit("> — filing `"), "source_accession", F.lit("`")),
         "",
     )
-    debate_head = _lines(memos, 3, zero, "## Debate", "")
-    side = F.when(F.col("stance") == "bull", F.lit(0)).otherwise(F.lit(1))
-    side_heads = _lines(
-        points.select("entity_id", "stance").distinct(), 3, side * 1_000_000 + 1,
-        F.when(F.col("stance") == "bull", F.lit("**Bull**")).otherwise(F.lit("**Bear**")),
-    )
-    side_rows = _lines(
-        points, 3, side * 1_000_000 + 2 + F.col("position"), F.concat(F.lit("- "), "point")
+    debate = _lines(memos, 3, 0, None, "## Debate", "", "**Bull**")
+    bull = F.col("stance") == "bull"
+    debate_rows = _lines(
+        points, 3, F.when(bull, 1).otherwise(3), F.col("position"), F.concat(F.lit("- "), "point")
     )
+    bear_head = _lines(memos, 3, 2, None, "", "**Bear**")
+    debate_end = _lines(memos, 3, 4, None, "")
     skeptic = _lines(
-        memos, 4, zero,
+        memos, 4, 0, None,
         F.concat(
             F.lit("**Skeptic** — "),
             F.when(F.col("disqualifying"), F.lit("disqualifying")).otherwise(
@@ -171,23 +186,36 @@ def markdown_lines(
         ),
         "",
         F.col("reasoning"),
-        "",
     )
+    refuted_head = _lines(
+        entities.join(refuted, "entity_id", "left_semi"), 4, 1, None, "", "Refuted claims:"
+    )
+    refuted_rows = _lines(refuted, 4, 2, F.col("position"), bullet)
+    skeptic_end = _lines(memos, 4, 3, None, "")
+    warned = counts.join(
+        warnings.select("entity_id").distinct().withColumn("warned", F.lit(True)), "entity_id", "left"
+    ).where((F.col("dropped") > 0) | F.col("warned"))
     rate = F.col("dropped") / (F.col("kept") + F.col("dropped"))
-    quality = _lines(
-        counts.where(F.col("dropped") > 0), 5, zero,
+    quality_head = _lines(
+        warned, 5, 0, None,
         "## Data quality",
         "",
-        F.format_string(
-            "- %d finding(s) dropped: the quote was not found in the cited filing "
-            "(fabrication rate %.0f%%).",
-            F.col("dropped"),
-            rate * 100,
+        F.when(
+            F.col("dropped") > 0,
+            F.format_string(
+                "- %d finding(s) dropped: the quote was not found in the cited filing "
+                "(fabrication rate %d%%).",
+                F.col("dropped"),
+                F.bround(rate * 100).cast("long"),  # ties go to the even number
+            ),
         ),
     )
+    quality_rows = _lines(warnings, 5, 1, F.col("position"), bullet)
+    quality_end = _lines(warned, 5, 2, None, "")
     parts = [
-        title, veto_head, veto_rows, findings_head, finding_rows, debate_head, side_heads,
-        side_rows, skeptic, quality,
+        title, veto_head, veto_rows, veto_end, findings_head, finding_rows, debate, debate_rows,
+        bear_head, debate_end, skeptic, refuted_head, refuted_rows, skeptic_end, quality_head,
+        quality_rows, quality_end,
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -196,9 +224,9 @@ def markdown_lines(
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:
-    """Text files with the reports in order; a long report may span files."""
-    order = ["entity_id", "section", "position", "line_no"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+    """One folder ``entity_id=<id>`` with one text file for each report, its lines in order."""
+    ordered = lines.repartition("entity_id").sortWithinPartitions(*LINE_ORDER)
+    ordered.select("entity_id", "line").write.partitionBy("entity_id").text(path)
 
 
 # ------------------------------------------------------------------ report tree

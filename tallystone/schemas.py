@@ -6,7 +6,7 @@ MANIFEST = (
     "source string, doc_id string, version int, content_sha256 string, size_bytes long, "
     "path string, filename string, ingested_at string, harvest_day date, filing_date date, "
     "form_type string, title string, url string, content_type string, "
-    "entity map<string,string>, meta map<string,string>"
+    "entity map<string,string>, meta map<string,string>, run string"
 )
 RAW_FACT = (
     "accession string, taxonomy string, local_name string, value double, unit string, "

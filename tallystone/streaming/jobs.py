@@ -49,22 +49,29 @@ def _earlier(spark: SparkSession, target: str, batch_id: int, schema: str) -> Da
     return rows.where(F.col("batch") < batch_id).drop("batch")
 
 
-ARCHIVE_ROW = "source string, doc_id string, content_sha256 string, arrival long, version int"
+ARCHIVE_ROW = (
+    "source string, doc_id string, content_sha256 string, arrival long, version int, "
+    "harvest_day date, filename string, path string, size_bytes long, content string"
+)
+ARRIVAL_ROW = (
+    "source string, doc_id string, content string, filename string, harvest_day date, arrival long"
+)
 
 
 def archive_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Version documents as they arrive; content held already is not stored again."""
+    """Store documents as they arrive, with their version; content held already is not stored again.
+
+    A row holds the manifest fields and the payload, so one write stores both or neither. Finding
+    what is held reads keys and digests alone.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = _earlier(spark, target, batch_id, ARCHIVE_ROW)
-        narrow = batch.withColumn("content_sha256", A.digest("content")).select(
-            *A.CONTENT_KEY, "arrival"
+        keys = "source string, doc_id string, content_sha256 string"
+        held = _earlier(batch.sparkSession, target, batch_id, keys)
+        fields = [f.split()[0] for f in ARCHIVE_ROW.split(", ")]
+        A.plan_documents(batch, held).select(*fields).write.mode("overwrite").parquet(
+            f"{target}/batch={batch_id}"
         )
-        fresh = A.new_versions(narrow, held)
-        fresh.select("source", "doc_id", "content_sha256", "arrival", "version").write.mode(
-            "overwrite"
-        ).parquet(f"{target}/batch={batch_id}")
 
     return _start(stream, step, checkpoint)
 
@@ -110,30 +117,36 @@ def ledger_state(spark: SparkSession, target: str, schema: str) -> DataFrame:
     return E.dedup_last(rows).drop("batch")
 
 
-def run_index_stream(
-    stream: DataFrame, query_name: str, checkpoint: str
-) -> StreamingQuery:
-    """Running counts per run as candidates finish; complete mode rewrites the index."""
+RUN_ROW = "run_id string, requested long, researched long, vetoed long"
+
+
+def run_index_stream(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Counts per run as candidates finish: each micro-batch stores those of the runs it touches."""
     done = F.col("status") == "done"
-    counts = stream.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("requested"),
-        F.count_if(done).alias("researched"),
-        F.count_if(done & F.col("vetoed")).alias("vetoed"),
-    )
-    return (
-        counts.writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(query_name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("requested"),
+            F.count_if(done).alias("researched"),
+            F.count_if(done & F.col("vetoed")).alias("vetoed"),
+        )
+        counts.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return _start(stream, step, checkpoint)
+
+
+def run_index_state(spark: SparkSession, target: str) -> DataFrame:
+    """The run index: sums over the micro-batches stored so far."""
+    rows = spark.read.schema(RUN_ROW + ", batch long").option("basePath", target).parquet(target)
+    sums = [F.sum(c).alias(c) for c in ("requested", "researched", "vetoed")]
+    return rows.groupBy("run_id").agg(*sums)
 
 
 def report_changes(spark: SparkSession, reports_path: str) -> DataFrame:
     """Change feed of a report tree: one row per new JSON file."""
     return (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.json")
         .option("recursiveFileLookup", "true")
         .load(reports_path)

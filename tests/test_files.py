@@ -55,14 +55,19 @@ def test_payload_files(spark):
 
 def test_markdown_is_written_in_order(spark):
     lines = spark.createDataFrame(
-        [(f"e{i % 3}", i % 5, i, 0, f"e{i % 3}-{i % 5}-{i:03d}") for i in range(100)],
-        "entity_id string, section int, position long, line_no int, line string",
+        [(f"e{i % 3}", i % 5, 0, i, 0, f"e{i % 3}-{i % 5}-{i:03d}") for i in range(100)],
+        "entity_id string, section int, part int, position long, line_no int, line string",
     )
     path = fresh_path(spark, "markdown")
     RP.write_markdown(lines, path)
-    parts = sorted(p for p in os.listdir(path) if p.startswith("part"))
-    written = [x for p in parts for x in open(f"{path}/{p}").read().splitlines()]
-    assert written == sorted(written) and len(written) == 100
+    total = 0
+    for i in range(3):
+        folder = f"{path}/entity_id=e{i}"
+        (part,) = [p for p in os.listdir(folder) if p.startswith("part")]  # one file a report
+        written = open(f"{folder}/{part}").read().splitlines()
+        assert written == sorted(written) and all(x.startswith(f"e{i}-") for x in written)
+        total += len(written)
+    assert total == 100
 
 
 def test_manifest_filters_and_rejects_bad_lines(spark):

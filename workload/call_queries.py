@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
+from tallystone.operators import archive as A
 from tallystone.operators import calls as K
 from tallystone.operators import reports as RP
 from tallystone.session import fresh_path, materialize
@@ -199,41 +200,67 @@ SELECT entity_id, CASE WHEN i < 2 THEN 'bull' ELSE 'bear' END AS stance, CAST(i
 """
 
 
+VIEWS["v_refuted"] = """
+SELECT entity_id, CAST(i AS BIGINT) AS position, 'refuted ' || CAST(i AS STRING) AS text FROM (SELECT entity_id, SERIES(0, 1) AS i FROM {v_skeptic}) t WHERE CAST(entity_id AS BIGINT) % 3 = 0
+"""
+VIEWS["v_warned"] = """
+SELECT entity_id, CAST(0 AS BIGINT) AS position, 'warning of ' || entity_id AS text FROM {v_skeptic} WHERE CAST(entity_id AS BIGINT) % 4 = 1
+"""
+
+
 def report_markdown(spark, sf_dir):
-    verified = materialize(_verified(spark, sf_dir), "verified")
+    verified = _verified(spark, sf_dir)
     skeptic = view(spark, sf_dir, "v_skeptic")
     from tallystone.operators import evidence as EV
 
     verdicts = EV.veto_decisions(verified, skeptic).select("entity_id", "verdict")
     memos = view(spark, sf_dir, "v_memos").join(verdicts, "entity_id")
     return RP.markdown_lines(
-        memos, verified, EV.veto_reasons(verified, skeptic), view(spark, sf_dir, "v_points"), "run-1", "m-1"
-    ).select("entity_id", "section", "position", F.col("line_no").cast("long").alias("line_no"), "line")
+        memos, verified, EV.veto_reasons(verified, skeptic), view(spark, sf_dir, "v_points"), view(spark, sf_dir, "v_refuted"),
+        view(spark, sf_dir, "v_warned"), "run-1", "m-1", "2026-07-01T10:00:00+00:00",
+    ).select("entity_id", "section", "part", "position", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
 Q["report_markdown"] = report_markdown
 _CRIT = "EXISTS (SELECT 1 FROM o_verified v WHERE v.entity_id = m.entity_id AND verified AND severity = 'critical')"
-_LIST = lambda *lines: "[" + ", ".join(lines) + "]"
 
 
-def _rows(source: str, section: str, position: str, *lines: str) -> str:
-    arr = _LIST(*lines)
-    return f"SELECT entity_id, {section} AS section, CAST({position} AS BIGINT) AS position, unnest(range(0, {len(lines)})) AS line_no, unnest({arr}) AS line FROM ({source}) m"
+def _rows(source: str, section: int, part: str, position: str, *lines: str) -> str:
+    arr = "[" + ", ".join(lines) + "]"
+    return (
+        f"SELECT entity_id, {section} AS section, CAST({part} AS INT) AS part, CAST({position} AS BIGINT) AS position, "
+        f"unnest(range(0, {len(lines)})) AS line_no, unnest({arr}) AS line FROM ({source}) m"
+    )
 
 
+# The template of a report, section by section in its order.
 _MEMOS = f"SELECT m.*, m.disqualifying OR {_CRIT} AS veto FROM v_memos m"
+_VETOED = f"SELECT * FROM ({_MEMOS}) z WHERE veto"
 _COUNTS = "SELECT s.entity_id, coalesce(count(*) FILTER (verified), 0) AS kept, count(*) FILTER (NOT verified) AS dropped FROM v_skeptic s LEFT JOIN o_verified v ON v.entity_id = s.entity_id GROUP BY s.entity_id"
-SQL["report_markdown"] = oracle("SELECT * FROM {v_memos} JOIN {v_points} ON true JOIN {v_findings} ON true JOIN {o_pack} ON true").rsplit("\nSELECT * FROM v_memos", 1)[0] + ",\no_verified AS (" + _V.split("o_verified AS (", 1)[1] + "SELECT entity_id, section, position, line_no, line FROM (" + " UNION ALL ".join((
-    _rows(_MEMOS, "0", "0", "'# ' || coalesce(name, entity_id)", "''", "'**Entity:** `' || entity_id || '`  '", "'**Verdict:** ' || CASE WHEN veto THEN '🚫 VETO' ELSE '✅ no veto' END || '  '", "'**Model:** m-1  '", "'**Run:** `run-1`'", "''", "'" + RP.DISCLAIMER + "'", "''", "'## Headline'", "''", "headline", "''", "'## Thesis'", "''", "thesis", "''"),
-    _rows(f"SELECT * FROM ({_MEMOS}) z WHERE veto", "1", "0", "'## Veto reasons'", "''"),
-    _rows("SELECT entity_id, finding_ordinal + 1 AS p, trim(claim) AS reason FROM o_verified WHERE verified AND severity = 'critical' UNION ALL SELECT entity_id, 1000000001, reasoning FROM v_skeptic WHERE disqualifying", "1", "p", "'- ❌ ' || reason"),
-    _rows(_COUNTS, "2", "-1", "'## Cited findings (' || kept || ')'", "''", "CASE WHEN kept = 0 THEN '_None survived citation verification._' END"),
-    _rows("SELECT * FROM o_verified WHERE verified", "2", "finding_ordinal", "'### [' || severity || '] ' || category", "''", "trim(claim)", "''", "'> ' || quoted_span", "'>'", "'> — filing `' || source_accession || '`'", "''"),
-    _rows("SELECT * FROM v_memos", "3", "0", "'## Debate'", "''"),
-    _rows("SELECT DISTINCT entity_id, stance FROM v_points", "3", "CASE stance WHEN 'bull' THEN 1 ELSE 1000001 END", "CASE stance WHEN 'bull' THEN '**Bull**' ELSE '**Bear**' END"),
-    _rows("SELECT * FROM v_points", "3", "CASE stance WHEN 'bull' THEN 2 ELSE 1000002 END + position", "'- ' || point"),
-    _rows("SELECT * FROM v_memos", "4", "0", "'**Skeptic** — ' || CASE WHEN disqualifying THEN 'disqualifying' ELSE 'not disqualifying' END", "''", "reasoning", "''"),
-    _rows(f"SELECT * FROM ({_COUNTS}) z WHERE dropped > 0", "5", "0", "'## Data quality'", "''", "'- ' || dropped || ' finding(s) dropped: the quote was not found in the cited filing (fabrication rate ' || printf('%.0f', dropped / (kept + dropped) * 100) || '%).'"),
+_WARNED = f"SELECT * FROM ({_COUNTS}) z WHERE dropped > 0 OR entity_id IN (SELECT entity_id FROM v_warned)"
+_REASONS = "SELECT entity_id, 1 AS part, finding_ordinal AS p, trim(claim) AS reason FROM o_verified WHERE verified AND severity = 'critical' UNION ALL SELECT entity_id, 2, 0, reasoning FROM v_skeptic WHERE disqualifying"
+_CTES = oracle("SELECT * FROM {v_memos} JOIN {v_points} ON true JOIN {v_findings} ON true JOIN {v_filings} ON true JOIN {v_refuted} ON true JOIN {v_warned} ON true").rsplit("\nSELECT * FROM v_memos", 1)[0]
+SQL["report_markdown"] = _CTES + ",\no_verified AS (" + _V.split("o_verified AS (", 1)[1] + "SELECT entity_id, section, part, position, line_no, line FROM (" + " UNION ALL ".join((
+    _rows(_MEMOS, 0, "0", "0", "'# ' || coalesce(name, entity_id)", "''", "'**Entity:** `' || entity_id || '`  '", "'**Verdict:** ' || CASE WHEN veto THEN '🚫 VETO' ELSE '✅ no veto' END || '  '",
+          "'**Model:** m-1  '", "'**Generated:** 2026-07-01T10:00:00+00:00  '", "'**Run:** `run-1`'", "''",
+          "'> *Not investment advice. The LLM can veto a screened candidate; it can never recommend buying one. Every number is computed in code.*'", "''",
+          "'## Headline'", "''", "headline", "''", "'## Thesis'", "''", "thesis", "''"),
+    _rows(_VETOED, 1, "0", "0", "'## Veto reasons'", "''"),
+    _rows(_REASONS, 1, "part", "p", "'- ❌ ' || reason"),
+    _rows(_VETOED, 1, "9", "0", "''"),
+    _rows(_COUNTS, 2, "0", "0", "'## Cited findings (' || kept || ')'", "''", "CASE WHEN kept = 0 THEN '_None survived citation verification._' END", "CASE WHEN kept = 0 THEN '' END"),
+    _rows("SELECT * FROM o_verified WHERE verified", 2, "1", "finding_ordinal", "'### [' || severity || '] ' || category", "''", "trim(claim)", "''", "'> ' || quoted_span", "'>'", "'> — filing `' || source_accession || '`'", "''"),
+    _rows("SELECT * FROM v_memos", 3, "0", "0", "'## Debate'", "''", "'**Bull**'"),
+    _rows("SELECT * FROM v_points", 3, "CASE stance WHEN 'bull' THEN 1 ELSE 3 END", "position", "'- ' || point"),
+    _rows("SELECT * FROM v_memos", 3, "2", "0", "''", "'**Bear**'"),
+    _rows("SELECT * FROM v_memos", 3, "4", "0", "''"),
+    _rows("SELECT * FROM v_memos", 4, "0", "0", "'**Skeptic** — ' || CASE WHEN disqualifying THEN 'disqualifying' ELSE 'not disqualifying' END", "''", "reasoning"),
+    _rows("SELECT DISTINCT entity_id FROM v_refuted", 4, "1", "0", "''", "'Refuted claims:'"),
+    _rows("SELECT * FROM v_refuted", 4, "2", "position", "'- ' || text"),
+    _rows("SELECT * FROM v_memos", 4, "3", "0", "''"),
+    _rows(_WARNED, 5, "0", "0", "'## Data quality'", "''", "CASE WHEN dropped > 0 THEN '- ' || dropped || ' finding(s) dropped: the quote was not found in the cited filing (fabrication rate ' || printf('%.0f', dropped / (kept + dropped) * 100) || '%).' END"),
+    _rows("SELECT * FROM v_warned", 5, "1", "position", "'- ' || text"),
+    _rows(_WARNED, 5, "2", "0", "''"),
 )) + ") t WHERE line IS NOT NULL"
 
 VIEWS["v_tree"] = """
@@ -280,18 +307,23 @@ def _landed(spark, df, label: str, parts: int, by: str):
 
 
 def stream_archive(spark, sf_dir):
-    arrivals = view(spark, sf_dir, "v_arrivals").select("source", "doc_id", "content", "arrival")
+    """Documents stored by micro-batches; a lost checkpoint replays them all and changes nothing."""
+    arrivals = view(spark, sf_dir, "v_arrivals").drop("page_id")
     path = _landed(spark, arrivals, "landing", 3, "doc_id")
     target = fresh_path(spark, "archive")
-    stream = J.file_stream(spark, path, "source string, doc_id string, content string, arrival long", 1)
-    J.archive_stream(stream, target, fresh_path(spark, "cp")).awaitTermination()
-    return spark.read.schema(J.ARCHIVE_ROW).parquet(target).select("source", "doc_id", "content_sha256", "version")
+    for _ in range(2):
+        stream = J.file_stream(spark, path, J.ARRIVAL_ROW, 1)
+        J.archive_stream(stream, target, fresh_path(spark, "cp")).awaitTermination()
+    stored = spark.read.schema(J.ARCHIVE_ROW).parquet(target)
+    return stored.select("source", "doc_id", "version", "path", "size_bytes", A.digest("content").alias("payload_sha256"))
 
 
 Q["stream_archive"] = stream_archive
 SQL["stream_archive"] = oracle("""
-SELECT source, doc_id, content_sha256, CAST(row_number() OVER (PARTITION BY source, doc_id ORDER BY arrival) AS INT) AS version
-FROM (SELECT source, doc_id, sha256(content) AS content_sha256, min(arrival) AS arrival FROM {v_arrivals} GROUP BY ALL) t
+SELECT source, doc_id, version, source || strftime(harvest_day, '/%Y/%m/%d/') || replace(doc_id, '/', '_') || '/v' || version || '/' || filename AS path,
+  strlen(content) AS size_bytes, sha256(content) AS payload_sha256
+FROM (SELECT source, doc_id, content, filename, harvest_day, CAST(row_number() OVER (PARTITION BY source, doc_id ORDER BY min(arrival)) AS INT) AS version
+      FROM {v_arrivals} GROUP BY source, doc_id, content, filename, harvest_day) t
 """)
 
 
@@ -329,11 +361,32 @@ SELECT CAST(as_of AS VARCHAR) AS as_of, strategy, entity_id, reference_price, or
 def stream_run_index(spark, sf_dir):
     entries = RP.run_entries(view(spark, sf_dir, "v_requested"), view(spark, sf_dir, "v_done")).select("run_id", "entity_id", "status", "vetoed")
     path = _landed(spark, entries, "entries", 3, "entity_id")
-    name = f"run_index_{path[-8:]}"
+    target = fresh_path(spark, "run_index")
     stream = J.file_stream(spark, path, "run_id string, entity_id string, status string, vetoed boolean", 1)
-    J.run_index_stream(stream, name, fresh_path(spark, "cp")).awaitTermination()
-    return spark.table(name)
+    J.run_index_stream(stream, target, fresh_path(spark, "cp")).awaitTermination()
+    return J.run_index_state(spark, target)
 
 
 Q["stream_run_index"] = stream_run_index
 SQL["stream_run_index"] = SQL["run_index"]
+
+
+def stream_report_changes(spark, sf_dir):
+    """The change feed of a report tree, summed by day: one row of the feed for each JSON file."""
+    root, target = fresh_path(spark, "reports"), fresh_path(spark, "changes")
+    tree = view(spark, sf_dir, "v_tree").where("k = 1").select("day", "s")
+    tree.repartition("day").write.partitionBy("day").json(root)
+
+    def step(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    feed = J.report_changes(spark, root)
+    feed.writeStream.foreachBatch(step).option("checkpointLocation", fresh_path(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    day = F.regexp_extract("path", "day=([0-9-]+)", 1).alias("day")
+    return spark.read.parquet(target).groupBy(day).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+Q["stream_report_changes"] = stream_report_changes
+SQL["stream_report_changes"] = oracle("""
+SELECT day, CAST(1 AS BIGINT) AS files, CAST(sum(length('{"s":}') + length(CAST(s AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM {v_tree} WHERE k = 1 GROUP BY day
+""")
