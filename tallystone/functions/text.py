@@ -153,7 +153,7 @@ def excerpts(text: Column) -> Column:
             lambda w: F.struct(
                 F.lit(category).alias("category"),
                 w["start"].alias("char_start"),
-                F.trim(F.substring(text, w["start"] + 1, w["finish"] - w["start"])).alias("text"),
+                strip(F.substring(text, w["start"] + 1, w["finish"] - w["start"])).alias("text"),
             ),
         )
 
@@ -162,9 +162,24 @@ def excerpts(text: Column) -> Column:
 
 
 # ------------------------------------------------------------------ quotes
+# Lower-case characters that full case folding changes further, from Python's own folding table.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
+
+def case_folded(text: Column) -> Column:
+    """Full case folding: lower case, final sigma and the like, sharp s and ligatures spelled out."""
+    lowered = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    spelled = lowered
+    for c, f in _MORE.items():
+        spelled = F.replace(spelled, F.lit(c), F.lit(f))
+    return F.when(lowered.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(lowered)
+
+
 def fold(text: Column) -> Column:
-    """White space and case folded; sharp s is spelled out as case folding does."""
-    return F.replace(F.lower(squeeze(text)), F.lit("ß"), F.lit("ss"))
+    """White space and case folded."""
+    return case_folded(squeeze(text))
 
 
 def words(text: Column) -> Column:
@@ -173,7 +188,7 @@ def words(text: Column) -> Column:
 
 def token_overlap(quote: Column, folded_text: Column) -> Column:
     """Share of the quote's words, repeats counted, that occur anywhere in the text."""
-    wanted = words(F.replace(F.lower(quote), F.lit("ß"), F.lit("ss")))
+    wanted = words(case_folded(quote))
     shared = F.array_intersect(wanted, words(folded_text))
     found = F.size(F.filter(wanted, lambda w: F.array_contains(shared, w)))
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))

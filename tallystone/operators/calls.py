@@ -207,7 +207,10 @@ def split_reasoning(responses: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ JSON answers
 @F.pandas_udf(T.StringType())
 def embedded_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """First object or array in prose that decodes; NULL input is passed through."""
+    """First object or array in prose that decodes; NULL input is passed through.
+
+    Brackets nested beyond what the decoder can follow hold no answer.
+    """
     decoder = json.JSONDecoder()
 
     def first(text: str | None) -> str | None:
@@ -219,6 +222,8 @@ def embedded_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
                     _, end = decoder.raw_decode(text, start)
                 except ValueError:
                     continue
+                except RecursionError:
+                    return None
                 return text[start:end]
         return None
 

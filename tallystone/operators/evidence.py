@@ -24,6 +24,13 @@ def newest_filings(filings: DataFrame, k: int = V.FILINGS_PER_ENTITY) -> DataFra
     return filings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def filings_from_manifest(manifest: DataFrame, k: int = V.FILINGS_PER_ENTITY) -> DataFrame:
+    """The newest archived SEC filings of each company, by the company key the harvest recorded."""
+    company = F.col("entity")["cik"]
+    rows = manifest.where((F.col("source") == "sec") & company.isNotNull())
+    return newest_filings(rows.withColumn("entity_id", company), k)
+
+
 def anonymized_texts(filings: DataFrame, identities: DataFrame | None = None) -> DataFrame:
     """Filing texts with company name and tickers replaced. Empty texts are dropped."""
     if identities is None:
@@ -214,6 +221,36 @@ def evidence_catalog(sources: DataFrame) -> DataFrame:
     return sources.select("run_id", "source", line.alias("line"))
 
 
+# Lines of runs that have nothing to show.
+NO_SOURCES = "(no sources fetched -- you have no basis for any finding)"
+NO_STEPS = "(no tools were called)"
+DIGEST_HEAD = 140
+
+
+def run_catalog(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Catalog lines of every run; a run without sources has one line that says so."""
+    lines = evidence_catalog(sources)
+    bare = runs.select("run_id").join(sources.select("run_id").distinct(), "run_id", "left_anti")
+    nothing = bare.select("run_id", F.lit(None).cast("string").alias("source"), F.lit(NO_SOURCES).alias("line"))
+    return lines.join(runs.select("run_id"), "run_id", "left_semi").unionByName(nothing)
+
+
+def step_digest(runs: DataFrame, steps: DataFrame) -> DataFrame:
+    """One line for each step of a run: tool, input, outcome and the head of what came back.
+
+    ``steps``: run_id, position (from 1), tool, tool_input, observation, ok.
+    """
+    first_line = F.regexp_extract(F.coalesce("observation", F.lit("")), r"^[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*", 0)
+    line = F.concat(
+        F.col("position").cast("string"), F.lit(". "), "tool", F.lit("("), "tool_input", F.lit(")"),
+        F.when(F.col("ok"), F.lit("")).otherwise(F.lit(" [failed]")),
+        F.lit(" -> "), F.substring(first_line, 1, DIGEST_HEAD),
+    )
+    bare = runs.select("run_id").join(steps.select("run_id").distinct(), "run_id", "left_anti")
+    nothing = bare.select("run_id", F.lit(0).cast("long").alias("position"), F.lit(NO_STEPS).alias("line"))
+    return steps.select("run_id", F.col("position").cast("long").alias("position"), line.alias("line")).unionByName(nothing)
+
+
 # ------------------------------------------------------------------ prompts
 # Labels that the prompt table uses.
 METRICS_LABEL = "COMPUTED METRICS (authoritative — do not recompute)"

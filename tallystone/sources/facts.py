@@ -45,7 +45,8 @@ def oim_unit(unit: Column) -> Column:
 def numeric_text(value: Column) -> Column:
     """DOUBLE of a numeric text, nan and inf included; blanks, booleans and the rest are NULL."""
     trimmed = F.trim(value)
-    number = r"(?i)^[+-]?(\d[\d_]*(\.\d*)?(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|nan|inf|infinity)$"
+    digits = r"\d(_?\d)*"  # an underscore stands between digits only
+    number = rf"(?i)^[+-]?(({digits}(\.({digits})?)?|\.{digits})(e[+-]?{digits})?|nan|inf|infinity)$"
     return F.when(trimmed.rlike(number), F.regexp_replace(trimmed, "_", "").try_cast("double"))
 
 

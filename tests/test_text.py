@@ -18,7 +18,7 @@ def brute_excerpts(text):
             start = max(0, m.start() - 250)
             if len(taken) < 4 and all(abs(start - s) >= 900 for s in taken):
                 taken.append(start)
-                out.append((category, start, text[start : m.end() + 500].strip(" ")))
+                out.append((category, start, text[start : m.end() + 500].strip()))
     return out
 
 
@@ -27,7 +27,7 @@ def test_excerpts_match_brute_force(spark):
     phrases = [
         "going concern", "Substantial Doubt", "convertible", "lowest reported trading price",
         "reverse split", "related parties", "dilution", "ATM offering", "material weakness",
-        "SEC subpoena", "dismissed its former auditor", "é ü ß words", "plain words here",
+        "SEC\n subpoena", "\n", "dismissed its former auditor", "é ü ß words", "plain words here",
     ]
     texts = ["", "convertible", "x" * 5000]
     for size in (5, 60, 400):

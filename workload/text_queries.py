@@ -243,7 +243,7 @@ def _excerpts_sql(source: str) -> str:
     found = " UNION ALL ".join(_category_sql(i, c, p, source) for i, (c, p) in enumerate(RED_FLAG_PATTERNS))
     before = _LEN.format("pieces[1:i]") + " + " + _LEN.format("hits[1:i - 1]")
     return f"""
-SELECT entity_id, accession, c, category, s AS char_start, trim(substr(text, CAST(s + 1 AS INT), CAST(e - s AS INT))) AS text FROM (
+SELECT entity_id, accession, c, category, s AS char_start, regexp_replace(substr(text, CAST(s + 1 AS INT), CAST(e - s AS INT)), '^{_SPACES}|{_SPACES}$', '', 'g') AS text FROM (
   SELECT *, v // 1073741824 AS s, v % 1073741824 AS e FROM (
     SELECT *, unnest(list_reduce(list_transform(codes, lambda y: [y]), lambda acc, x: CASE WHEN len(acc) < 4 AND len(list_filter(acc, lambda a: abs(a // 1073741824 - x[1] // 1073741824) < 900)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS v FROM (
       SELECT *, list_transform(range(1, len(hits) + 1), lambda i: greatest({before} - 250, 0) * 1073741824 + least(length(text), {before} + length(hits[i]) + 500)) AS codes FROM ({found}) f) g) h) k
