@@ -79,7 +79,7 @@ def write_report_json(reports: DataFrame, path: str) -> None:
 
 
 # ------------------------------------------------------------------ report as Markdown
-def _lines(
+def line_rows(
     rows: DataFrame, section: int, part: int | Column, position: Column | None, *texts: Column | str
 ) -> DataFrame:
     """Rows of (entity_id, section, part, position, line_no, line)."""
@@ -116,7 +116,7 @@ def markdown_lines(
     veto = F.col("verdict") == "veto"
     entities = memos.select("entity_id")
     bullet = F.concat(F.lit("- "), F.col("text"))
-    title = _lines(
+    title = line_rows(
         memos, 0, 0, None,
         F.concat(F.lit("# "), F.coalesce("name", "entity_id")),
         "",
@@ -136,12 +136,12 @@ def markdown_lines(
         "## Thesis", "", F.col("thesis"), "",
     )
     vetoed = memos.where(veto)
-    veto_head = _lines(vetoed, 1, 0, None, "## Veto reasons", "")
+    veto_head = line_rows(vetoed, 1, 0, None, "## Veto reasons", "")
     reasons = veto_reasons.join(vetoed.select("entity_id"), "entity_id", "left_semi")
-    veto_rows = _lines(
+    veto_rows = line_rows(
         reasons, 1, F.col("part") + 1, F.col("position"), F.concat(F.lit("- ❌ "), "reason")
     )
-    veto_end = _lines(vetoed, 1, 9, None, "")
+    veto_end = line_rows(vetoed, 1, 9, None, "")
     kept = verified.where("verified")
     counts = entities.join(
         verified.groupBy("entity_id").agg(
@@ -151,14 +151,14 @@ def markdown_lines(
         "left",
     ).select("entity_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("kept", "dropped")])
     none = F.col("kept") == 0
-    findings_head = _lines(
+    findings_head = line_rows(
         counts, 2, 0, None,
         F.format_string("## Cited findings (%d)", "kept"),
         "",
         F.when(none, F.lit(NO_FINDINGS)),
         F.when(none, F.lit("")),
     )
-    finding_rows = _lines(
+    finding_rows = line_rows(
         kept, 2, 1, F.col("finding_ordinal"),
         F.concat(F.lit("### ["), "severity", F.lit("] "), "category"),
         "",
@@ -169,14 +169,14 @@ def markdown_lines(
         F.concat(F.lit("> — filing `"), "source_accession", F.lit("`")),
         "",
     )
-    debate = _lines(memos, 3, 0, None, "## Debate", "", "**Bull**")
+    debate = line_rows(memos, 3, 0, None, "## Debate", "", "**Bull**")
     bull = F.col("stance") == "bull"
-    debate_rows = _lines(
+    debate_rows = line_rows(
         points, 3, F.when(bull, 1).otherwise(3), F.col("position"), F.concat(F.lit("- "), "point")
     )
-    bear_head = _lines(memos, 3, 2, None, "", "**Bear**")
-    debate_end = _lines(memos, 3, 4, None, "")
-    skeptic = _lines(
+    bear_head = line_rows(memos, 3, 2, None, "", "**Bear**")
+    debate_end = line_rows(memos, 3, 4, None, "")
+    skeptic = line_rows(
         memos, 4, 0, None,
         F.concat(
             F.lit("**Skeptic** — "),
@@ -187,16 +187,16 @@ def markdown_lines(
         "",
         F.col("reasoning"),
     )
-    refuted_head = _lines(
+    refuted_head = line_rows(
         entities.join(refuted, "entity_id", "left_semi"), 4, 1, None, "", "Refuted claims:"
     )
-    refuted_rows = _lines(refuted, 4, 2, F.col("position"), bullet)
-    skeptic_end = _lines(memos, 4, 3, None, "")
+    refuted_rows = line_rows(refuted, 4, 2, F.col("position"), bullet)
+    skeptic_end = line_rows(memos, 4, 3, None, "")
     warned = counts.join(
         warnings.select("entity_id").distinct().withColumn("warned", F.lit(True)), "entity_id", "left"
     ).where((F.col("dropped") > 0) | F.col("warned"))
     rate = F.col("dropped") / (F.col("kept") + F.col("dropped"))
-    quality_head = _lines(
+    quality_head = line_rows(
         warned, 5, 0, None,
         "## Data quality",
         "",
@@ -210,8 +210,8 @@ def markdown_lines(
             ),
         ),
     )
-    quality_rows = _lines(warnings, 5, 1, F.col("position"), bullet)
-    quality_end = _lines(warned, 5, 2, None, "")
+    quality_rows = line_rows(warnings, 5, 1, F.col("position"), bullet)
+    quality_end = line_rows(warned, 5, 2, None, "")
     parts = [
         title, veto_head, veto_rows, veto_end, findings_head, finding_rows, debate, debate_rows,
         bear_head, debate_end, skeptic, refuted_head, refuted_rows, skeptic_end, quality_head,
