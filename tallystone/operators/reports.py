@@ -17,6 +17,12 @@ DISCLAIMER = (
     "buying one. Every number is computed in code.*"
 )
 NO_FINDINGS = "_None survived citation verification._"
+BRIEF_DISCLAIMER = (
+    "> *Not investment advice. The agent may surface a candidate; the veto is decided in code and "
+    "every number is code-computed.*"
+)
+BRIEF_NO_FINDINGS = "_No finding survived citation verification._"
+BRIEF_NO_STEPS = "_No tools were called._"
 
 
 # ------------------------------------------------------------------ run index
@@ -80,12 +86,13 @@ def write_report_json(reports: DataFrame, path: str) -> None:
 
 # ------------------------------------------------------------------ report as Markdown
 def line_rows(
-    rows: DataFrame, section: int, part: int | Column, position: Column | None, *texts: Column | str
+    rows: DataFrame, section: int, part: int | Column, position: Column | None, *texts: Column | str,
+    key: str = "entity_id",
 ) -> DataFrame:
-    """Rows of (entity_id, section, part, position, line_no, line)."""
+    """Rows of (key, section, part, position, line_no, line); a NULL text is no line."""
     lines = F.array(*[F.lit(t) if isinstance(t, str) else t for t in texts])
     return rows.select(
-        "entity_id",
+        key,
         F.lit(section).alias("section"),
         (F.lit(part) if isinstance(part, int) else part).cast("int").alias("part"),
         (F.lit(0) if position is None else position).cast("long").alias("position"),
@@ -223,6 +230,117 @@ def markdown_lines(
     return out
 
 
+def brief_lines(
+    briefs: DataFrame, findings: DataFrame, steps: DataFrame, warnings: DataFrame,
+    veto_reasons: DataFrame, generated: str,
+) -> DataFrame:
+    """Investigation briefs as lines, ordered by LINE_ORDER with run_id in place of the entity.
+
+    ``briefs``: run_id, subject, entity_id, verdict, model, headline, thesis, recommendation,
+    metrics_block. ``findings``: run_id, finding_ordinal, claim, quoted_span, source, is_red_flag,
+    verified, reason. ``steps``: run_id, position (from 1), tool, thought, ok. ``warnings``: run_id,
+    position, text. ``veto_reasons``: run_id, position, reason.
+    """
+    rows = lambda *a: line_rows(*a, key="run_id")
+    runs, veto = briefs.select("run_id"), F.col("verdict") == "veto"
+    kept, dropped = findings.where("verified"), findings.where("not verified")
+    counts = runs.join(kept.groupBy("run_id").agg(F.count("*").alias("n")), "run_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    vetoed = briefs.where(veto)
+    reasons = veto_reasons.join(vetoed.select("run_id"), "run_id", "left_semi")
+    metrics = briefs.where(F.coalesce("metrics_block", F.lit("")) != "")
+    poor = runs.join(dropped.select("run_id").union(warnings.select("run_id")), "run_id", "left_semi")
+    flag = F.when(F.col("is_red_flag"), F.lit("🚩 ")).otherwise(F.lit(""))
+    parts = [
+        rows(
+            briefs, 0, 0, None,
+            F.concat(F.lit("# "), "subject"),
+            "",
+            F.when(F.col("entity_id") != "", F.concat(F.lit("**Entity:** `"), "entity_id", F.lit("`  "))),
+            F.concat(
+                F.lit("**Verdict:** "),
+                F.when(veto, F.lit("🚫 VETO")).otherwise(F.lit("✅ no veto")),
+                F.lit("  "),
+            ),
+            F.concat(F.lit("**Model:** "), "model", F.lit("  ")),
+            f"**Generated:** {generated}  ",
+            F.concat(F.lit("**Run:** `"), "run_id", F.lit("`")),
+            "",
+            BRIEF_DISCLAIMER,
+            "",
+            "## Headline", "", F.col("headline"), "",
+            "## Thesis", "", F.col("thesis"), "",
+            "## Recommendation", "", F.col("recommendation"), "",
+        ),
+        rows(vetoed, 1, 0, None, "## Veto reasons (code-decided)", ""),
+        rows(reasons, 1, 1, F.col("position"), F.concat(F.lit("- ❌ "), "reason")),
+        rows(vetoed, 1, 2, None, ""),
+        rows(
+            counts, 2, 0, None, F.format_string("## Findings (%d verified)", n), "",
+            F.when(n == 0, F.lit(BRIEF_NO_FINDINGS)), F.when(n == 0, F.lit("")),
+        ),
+        rows(
+            kept, 2, 1, F.col("finding_ordinal"),
+            F.concat(F.lit("### "), flag, "claim"), "", F.concat(F.lit("> "), "quoted_span"), ">",
+            F.concat(F.lit("> — source `"), "source", F.lit("`")), "",
+        ),
+        rows(metrics, 3, 0, None, "## Code-computed metrics", "", "```", F.col("metrics_block"), "```", ""),
+        rows(runs, 4, 0, None, "## What the agent did", ""),
+        rows(
+            steps.join(runs, "run_id", "left_semi"), 4, 1, F.col("position"),
+            F.concat(
+                F.col("position").cast("string"), F.lit(". **"), "tool", F.lit("**"),
+                F.when(F.col("ok"), F.lit("")).otherwise(F.lit(" (failed)")), F.lit(" — "), "thought",
+            ),
+        ),
+        rows(runs.join(steps.select("run_id"), "run_id", "left_anti"), 4, 2, None, BRIEF_NO_STEPS),
+        rows(runs, 4, 3, None, ""),
+        rows(poor, 5, 0, None, "## Data quality", ""),
+        rows(
+            dropped, 5, 1, F.col("finding_ordinal"),
+            F.concat(F.lit('- dropped: "'), "claim", F.lit('" — '), "reason"),
+        ),
+        rows(warnings, 5, 2, F.col("position"), F.concat(F.lit("- "), "text")),
+        rows(poor, 5, 3, None, ""),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def brief_json(
+    briefs: DataFrame, findings: DataFrame, steps: DataFrame, warnings: DataFrame,
+    veto_reasons: DataFrame, generated: str,
+) -> DataFrame:
+    """One JSON document a brief; what one run found and did is what one document holds."""
+    finding = F.struct("claim", "quoted_span", "source", "is_red_flag")
+
+    def listed(rows: DataFrame, order: str, item: Column, name: str) -> DataFrame:
+        packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("x"))))
+        return rows.groupBy("run_id").agg(F.transform(packed, lambda p: p["x"]).alias(name))
+
+    dropped = F.struct(finding.alias("finding"), "reason")
+    lists = [
+        listed(findings.where("verified"), "finding_ordinal", finding, "verified_findings"),
+        listed(findings.where("not verified"), "finding_ordinal", dropped, "dropped_findings"),
+        listed(steps, "position", F.struct("tool", "tool_input", "thought", "ok"), "steps"),
+        listed(warnings, "position", F.col("text"), "warnings"),
+        listed(veto_reasons, "position", F.col("reason"), "veto_reasons"),
+    ]
+    out = briefs
+    for one in lists:
+        name, kind = one.columns[1], one.schema[1].dataType
+        out = out.join(one, "run_id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
+    out = out.withColumns({"generated": F.lit(generated), "vetoed": F.col("verdict") == "veto"})
+    fields = [
+        "subject", "entity_id", "run_id", "model", "generated", "verdict", "vetoed", "headline", "thesis",
+        "recommendation", "veto_reasons", "verified_findings", "dropped_findings", "metrics_block", "steps",
+        "warnings",
+    ]
+    return out.select("run_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_markdown(lines: DataFrame, path: str) -> None:
     """One folder ``entity_id=<id>`` with one text file for each report, its lines in order."""
     ordered = lines.repartition("entity_id").sortWithinPartitions(*LINE_ORDER)

@@ -1,4 +1,4 @@
-"""Prompt bodies of the debate and memo stages."""
+"""Prompt bodies of the debate and memo stages, and investigation briefs."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tallystone.operators import evidence as EV
 from tallystone.operators import prompts as P
+from tallystone.operators import reports as RP
 from workload.call_queries import _REASONS, _rows
 from workload.screen_queries import report
-from workload.text_queries import _V, _verified, SQL as TEXT_SQL
+from workload.text_queries import _V, _sources, _verified, SQL as TEXT_SQL
 from workload.views import VIEWS, oracle, view
 
 Q: dict = {}
@@ -102,3 +103,87 @@ _MEMO = (
 )
 for _name, _template in (("analyst_prompts", _ANALYST), ("skeptic_prompts", _SKEPTIC), ("memo_prompts", _MEMO)):
     SQL[_name] = _HEAD + " UNION ALL ".join(_template) + _TAIL
+
+# ------------------------------------------------------------------ investigation briefs
+VIEWS["v_briefs"] = """
+SELECT run_id, 'Subject ' || run_id AS subject, CASE WHEN page_id % 3 <> 0 THEN 'E' || run_id END AS entity_id, CASE WHEN page_id % 6 = 1 THEN 'veto' ELSE 'no_veto' END AS verdict, 'm-1' AS model,
+  'Headline ' || run_id AS headline, 'Thesis ' || run_id AS thesis, 'Look at ' || run_id AS recommendation, CASE WHEN page_id % 5 = 2 THEN 'Period: ' || run_id ELSE '' END AS metrics_block, page_id
+FROM {v_run_pages}
+"""
+VIEWS["v_brief_reasons"] = "SELECT run_id, CAST(0 AS BIGINT) AS position, 'reason ' || run_id AS reason FROM {v_briefs} WHERE verdict = 'veto'"
+VIEWS["v_brief_warnings"] = "SELECT run_id, CAST(0 AS BIGINT) AS position, 'warning ' || run_id AS text FROM {v_briefs} WHERE page_id % 7 = 3"
+VIEWS["v_brief_steps"] = """
+SELECT CAST(conv_id AS STRING) AS run_id, CAST(turn AS BIGINT) + 1 AS position, role AS tool, 'in' AS tool_input, 'thought ' || CAST(turn AS STRING) AS thought, turn % 3 <> 1 AS ok FROM {conversations} WHERE conv_id % 6 <> 2
+"""
+VIEWS["o_brief_findings"] = """
+SELECT run_id, finding_ordinal, 'claim ' || run_id AS claim, quoted_span, source, finding_ordinal % 2 = 0 AS is_red_flag, finding_ordinal % 4 IN (0, 3) AS verified, 'quote not found in any fetched source' AS reason FROM {v_brief_findings}
+"""
+
+
+def _brief(spark, sf_dir):
+    findings = EV.verify_brief_findings(view(spark, sf_dir, "v_brief_findings"), _sources(spark, sf_dir))
+    findings = findings.withColumns({"claim": F.concat(F.lit("claim "), "run_id"), "is_red_flag": F.col("finding_ordinal") % 2 == 0})
+    briefs = view(spark, sf_dir, "v_briefs").drop("page_id")
+    steps = view(spark, sf_dir, "v_brief_steps").join(briefs.select("run_id"), "run_id", "left_semi")
+    return briefs, findings, steps, view(spark, sf_dir, "v_brief_warnings"), view(spark, sf_dir, "v_brief_reasons"), "2026-07-01T10:00:00+00:00"
+
+
+def brief_markdown(spark, sf_dir):
+    lines = RP.brief_lines(*_brief(spark, sf_dir))
+    return lines.select("run_id", "section", "part", "position", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def brief_json(spark, sf_dir):
+    """The documents, read back into their counts and a few fields."""
+    docs = RP.brief_json(*_brief(spark, sf_dir)).select("run_id", F.from_json(
+        "value", "struct<entity_id:string,vetoed:boolean,generated:string,veto_reasons:array<string>,verified_findings:array<struct<claim:string,is_red_flag:boolean>>,"
+        "dropped_findings:array<struct<finding:struct<claim:string>,reason:string>>,steps:array<struct<tool:string,thought:string,ok:boolean>>,warnings:array<string>>").alias("d"))
+    size = lambda c: F.size(f"d.{c}").cast("long").alias(c)
+    return docs.select(
+        "run_id", "d.entity_id", "d.vetoed", "d.generated", size("veto_reasons"), size("verified_findings"), size("dropped_findings"), size("steps"), size("warnings"),
+        F.get("d.verified_findings", 0)["claim"].alias("claim"), F.get("d.dropped_findings", 0)["reason"].alias("reason"),
+        F.array_join(F.transform("d.steps", lambda s: s["thought"]), "|").alias("thoughts"),
+    )
+
+
+Q["brief_markdown"] = brief_markdown
+Q["brief_json"] = brief_json
+
+
+def _brief_rows(source, *rest):
+    return _rows(source, *rest).replace("SELECT entity_id,", "SELECT run_id,", 1)
+
+
+_OWN_STEPS = "SELECT s.* FROM v_brief_steps s JOIN v_briefs USING (run_id)"
+_POOR = "SELECT run_id FROM v_briefs WHERE run_id IN (SELECT run_id FROM o_brief_findings WHERE NOT verified) OR run_id IN (SELECT run_id FROM v_brief_warnings)"
+_BRIEF_CTES = oracle("SELECT * FROM {v_briefs} JOIN {v_brief_reasons} ON true JOIN {v_brief_warnings} ON true JOIN {v_brief_steps} ON true JOIN {o_brief_findings} ON true").rsplit("\nSELECT * FROM v_briefs JOIN", 1)[0]
+SQL["brief_markdown"] = _BRIEF_CTES + "\nSELECT run_id, section, part, position, line_no, line FROM (" + " UNION ALL ".join((
+    _brief_rows("SELECT * FROM v_briefs", 0, "0", "0", "'# ' || subject", "''", "CASE WHEN entity_id IS NOT NULL THEN '**Entity:** `' || entity_id || '`  ' END", "'**Verdict:** ' || CASE verdict WHEN 'veto' THEN '🚫 VETO' ELSE '✅ no veto' END || '  '",
+                "'**Model:** m-1  '", "'**Generated:** 2026-07-01T10:00:00+00:00  '", "'**Run:** `' || run_id || '`'", "''",
+                "'> *Not investment advice. The agent may surface a candidate; the veto is decided in code and every number is code-computed.*'", "''",
+                "'## Headline'", "''", "headline", "''", "'## Thesis'", "''", "thesis", "''", "'## Recommendation'", "''", "recommendation", "''"),
+    _brief_rows("SELECT * FROM v_briefs WHERE verdict = 'veto'", 1, "0", "0", "'## Veto reasons (code-decided)'", "''"),
+    _brief_rows("SELECT * FROM v_brief_reasons", 1, "1", "position", "'- ❌ ' || reason"),
+    _brief_rows("SELECT * FROM v_briefs WHERE verdict = 'veto'", 1, "2", "0", "''"),
+    _brief_rows("SELECT b.run_id, count(f.claim) AS n FROM v_briefs b LEFT JOIN (SELECT * FROM o_brief_findings WHERE verified) f USING (run_id) GROUP BY b.run_id", 2, "0", "0", "'## Findings (' || n || ' verified)'", "''",
+                "CASE WHEN n = 0 THEN '_No finding survived citation verification._' END", "CASE WHEN n = 0 THEN '' END"),
+    _brief_rows("SELECT * FROM o_brief_findings WHERE verified", 2, "1", "finding_ordinal", "'### ' || CASE WHEN is_red_flag THEN '🚩 ' ELSE '' END || claim", "''", "'> ' || quoted_span", "'>'", "'> — source `' || source || '`'", "''"),
+    _brief_rows("SELECT * FROM v_briefs WHERE metrics_block <> ''", 3, "0", "0", "'## Code-computed metrics'", "''", "'```'", "metrics_block", "'```'", "''"),
+    _brief_rows("SELECT * FROM v_briefs", 4, "0", "0", "'## What the agent did'", "''"),
+    _brief_rows(_OWN_STEPS, 4, "1", "position", "position || '. **' || tool || '**' || CASE WHEN ok THEN '' ELSE ' (failed)' END || ' — ' || thought"),
+    _brief_rows("SELECT * FROM v_briefs WHERE run_id NOT IN (SELECT run_id FROM v_brief_steps)", 4, "2", "0", "'_No tools were called._'"),
+    _brief_rows("SELECT * FROM v_briefs", 4, "3", "0", "''"),
+    _brief_rows(_POOR, 5, "0", "0", "'## Data quality'", "''"),
+    _brief_rows("SELECT * FROM o_brief_findings WHERE NOT verified", 5, "1", "finding_ordinal", "'- dropped: \"' || claim || '\" — ' || reason"),
+    _brief_rows("SELECT * FROM v_brief_warnings", 5, "2", "position", "'- ' || text"),
+    _brief_rows(_POOR, 5, "3", "0", "''"),
+)) + ") t WHERE line IS NOT NULL"
+SQL["brief_json"] = _BRIEF_CTES + """
+SELECT b.run_id, entity_id, verdict = 'veto' AS vetoed, '2026-07-01T10:00:00+00:00' AS generated,
+  (SELECT count(*) FROM v_brief_reasons r WHERE r.run_id = b.run_id) AS veto_reasons, (SELECT count(*) FROM o_brief_findings f WHERE f.run_id = b.run_id AND verified) AS verified_findings,
+  (SELECT count(*) FROM o_brief_findings f WHERE f.run_id = b.run_id AND NOT verified) AS dropped_findings, (SELECT count(*) FROM v_brief_steps s WHERE s.run_id = b.run_id) AS steps,
+  (SELECT count(*) FROM v_brief_warnings w WHERE w.run_id = b.run_id) AS warnings,
+  (SELECT min(claim) FROM o_brief_findings f WHERE f.run_id = b.run_id AND verified) AS claim, (SELECT min(reason) FROM o_brief_findings f WHERE f.run_id = b.run_id AND NOT verified) AS reason,
+  coalesce((SELECT string_agg(thought, '|' ORDER BY position) FROM v_brief_steps s WHERE s.run_id = b.run_id), '') AS thoughts
+FROM v_briefs b
+"""
