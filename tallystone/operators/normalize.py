@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
 from tallystone.functions.columns import identifier_scheme, unit_currency
-from tallystone.operators.ranking import match_keys
-from tallystone.session import materialize
 
 NOTHING_RESOLVED = (
     "no canonical concepts resolved -- the filing has XBRL but none of its "
@@ -150,7 +148,7 @@ def ambiguities(found: DataFrame, chosen: DataFrame) -> DataFrame:
     picked = chosen.where("exact").select(
         *keys, F.col("priority").alias("p"), F.col("span").alias("sp")
     )
-    same = match_keys(found.where("exact"), picked, keys, "inner").where(
+    same = found.where("exact").join(picked, keys).where(
         (F.col("priority") == F.col("p")) & F.col("span").eqNullSafe(F.col("sp"))
     )
     distinct = same.select(*keys, F.bround("value", 4).alias("rounded")).distinct()
@@ -163,15 +161,14 @@ def ambiguities(found: DataFrame, chosen: DataFrame) -> DataFrame:
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("rounded")).alias("smallest"))
     )
-    return match_keys(counts.where("distinct_values > 1"), smallest, keys, "inner")
+    return counts.where("distinct_values > 1").join(smallest, keys)
 
 
 def resolve_with_warnings(facts: DataFrame, identity: DataFrame) -> DataFrame:
-    # Read by the choice and twice by the ambiguity check.
-    found = materialize(candidates(facts, identity), "found")
+    found = candidates(facts, identity)
     chosen = resolve(found)
     keys = ["accession", "concept"]
-    joined = match_keys(chosen, ambiguities(found, chosen), keys, "left")
+    joined = chosen.join(ambiguities(found, chosen), keys, "left")
     shown = F.concat(
         F.lit("["),
         F.array_join(F.transform("smallest", lambda v: number_text(v)), ", "),
@@ -270,8 +267,12 @@ def snapshot_headers(filings: DataFrame, identity: DataFrame, resolved: DataFram
 
 
 def normalize(facts: DataFrame, filings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(snapshot headers, canonical facts) of a batch of parsed filings."""
-    dated = with_reporting_date(facts, filings)
-    identity = materialize(period_identity(dated), "identity")
+    """(snapshot headers, canonical facts) of a batch of parsed filings.
+
+    Facts are dealt by accession once. Every later key begins with it, so the vote, the choice and
+    the ambiguity check run where the facts are, and their branches share that exchange.
+    """
+    dated = with_reporting_date(facts.repartition("accession"), filings)
+    identity = period_identity(dated)
     resolved = resolve_with_warnings(dated, identity)
     return snapshot_headers(filings, identity, resolved), canonical_facts(resolved, filings)
