@@ -136,7 +136,7 @@ WITH templates(tid, license_id, text) AS (VALUES
     {rows}
 ), upper_lower AS (
   SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l
-), texts AS (
+), texts AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), lines AS (
   SELECT rid, text, i, string_split(text, chr(10))[i] AS line

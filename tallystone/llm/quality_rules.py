@@ -194,7 +194,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH texts AS (
+WITH texts AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents
 ), worded AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,

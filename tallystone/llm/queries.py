@@ -18,5 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op3_benchmark_decontamination": decontaminate.OP3_SQL,
+    "op6_secret_scans": secrets.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
 }

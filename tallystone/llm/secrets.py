@@ -195,3 +195,66 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _placed_sql(name: str, pattern: str, keep: str) -> str:
+    """Matches with their places, from the matches and the pieces between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT rid, m, i, coalesce(sum(gap + length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap AS s, length(m) AS size, v
+  FROM (SELECT rid, i, hits[i] AS m, vals[i] AS v, length(gaps[i]) AS gap FROM (
+    SELECT rid, hits, vals, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(text, '{quoted}') AS hits, regexp_extract_all(text, '{quoted}', {2 if name == 'assign_all' else 0}) AS vals, string_split_regex(text, '{quoted}') AS gaps FROM texts)))
+), {name}_kept AS (SELECT rid, CAST(s AS BIGINT) AS s, CAST(s + size AS BIGINT) AS e, m FROM {name} WHERE {keep})"""
+
+
+def _op6_sql() -> str:
+    anycase = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    keys = "|".join(anycase(k) for k in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""({keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    size = len(ALPHABET)
+    return rf"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), {_placed_sql('assign_all', assign, f'length(v) >= {ASSIGN_MIN}')},
+{_placed_sql('access_all', ACCESS, f'size >= {ACCESS_MIN}')},
+{_placed_sql('hex_all', HEX, f'size >= {HEX_MIN}')},
+{_placed_sql('token_all', TOKEN, 'true')},
+base AS (
+  SELECT rid, s, e, 0 AS k, 'assign' AS name FROM assign_all_kept UNION ALL SELECT rid, s, e, 1, 'access' FROM access_all_kept
+  UNION ALL SELECT rid, s, e, 2, 'hex' FROM hex_all_kept
+), tokens AS (
+  SELECT t.rid, t.s, t.e, t.m, EXISTS (SELECT 1 FROM base b WHERE b.rid = t.rid AND b.s < t.e AND t.s < b.e) AS secret FROM token_all_kept t
+), alphabet AS (
+  SELECT substr('{ALPHABET}', CAST(i AS INT), 1) AS c FROM range(1, {size + 1}) r(i)
+), pairs AS (
+  SELECT secret, substr(m, CAST(i AS INT), 1) AS a, substr(m, CAST(i + 1 AS INT), 1) AS b FROM (
+    SELECT secret, m, unnest(range(1, length(m))) AS i FROM tokens WHERE secret OR NOT regexp_matches(m, '[0-9]') OR regexp_matches(m, '^[0-9]+$'))
+), grid AS (
+  SELECT k.secret, x.c AS a, y.c AS b, count(p.a) AS n FROM (SELECT unnest([true, false]) AS secret) k CROSS JOIN alphabet x CROSS JOIN alphabet y
+  LEFT JOIN pairs p ON p.secret = k.secret AND p.a = x.c AND p.b = y.c GROUP BY ALL
+), follow AS (
+  SELECT secret, b, 1.0::DOUBLE + sum(n) AS f FROM grid GROUP BY ALL
+), chance AS (
+  SELECT g.secret, g.a, g.b, (n + {BACK_OFF}::DOUBLE * f / sum(f) OVER (PARTITION BY g.secret, g.a)) / (sum(n) OVER (PARTITION BY g.secret, g.a) + {BACK_OFF}::DOUBLE) AS p
+  FROM grid g JOIN follow USING (secret, b)
+), ratios AS (
+  SELECT r.a, r.b, CAST(round({UNIT} * ln((r.p + 1.0::DOUBLE / {size}) / 2 / o.p)) AS BIGINT) AS v FROM chance r JOIN chance o ON r.a = o.a AND r.b = o.b AND r.secret AND NOT o.secret
+), scored AS (
+  SELECT rid, s, e, length(any_value(m)) AS size, sum(v) AS total FROM (
+    SELECT rid, s, e, m, substr(m, CAST(i AS INT), 1) AS a, substr(m, CAST(i + 1 AS INT), 1) AS b FROM (SELECT *, unnest(range(1, length(m))) AS i FROM tokens WHERE NOT secret)
+  ) JOIN ratios USING (a, b) GROUP BY rid, s, e
+), spans AS (
+  SELECT * FROM base UNION ALL SELECT rid, s, e, 3, 'markov' FROM scored WHERE total >= greatest({MIN_TOTAL}, {MIN_EACH} * (size - 1))
+), joined AS (
+  SELECT rid, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, k) AS all_spans, string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base_spans,
+         count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(all_spans, '') AS spans
+FROM texts LEFT JOIN joined USING (rid)
+"""
+
+
+OP6_SQL = _op6_sql()
