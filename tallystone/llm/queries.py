@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
+    "op1_suffix_array_dedup": suffix_dedup.OP1_SQL,
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op6_secret_scans": secrets.OP6_SQL,

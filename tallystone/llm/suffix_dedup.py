@@ -416,3 +416,34 @@ def remove_repeats(
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS d, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT *, length(h) // 2 AS n FROM docs
+), windows AS (
+  SELECT rid, d, i, substr(h, 2 * i - 1, 200) AS w FROM (SELECT rid, d, h, unnest(range(1, n - 98)) AS i FROM sized WHERE n >= 100)
+), firsts AS (
+  SELECT w, min((d, i)) AS f FROM windows GROUP BY w HAVING count(*) > 1
+), later AS (
+  SELECT rid, i FROM windows JOIN firsts USING (w) WHERE (d, i) > f
+), marked AS (
+  SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later
+), numbered AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT rid, min(i) AS s, max(i) + 99 AS e FROM numbered GROUP BY rid, run
+), edges AS (
+  SELECT rid, s, e FROM runs UNION ALL SELECT rid, n + 1, n + 1 FROM sized
+), kept AS (
+  SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 0) + 1 AS a, s - 1 AS b FROM edges
+), texts AS (
+  SELECT k.rid, coalesce(string_agg(substr(h, 2 * a - 1, 2 * (b - a + 1)), '' ORDER BY a), '') AS t FROM kept k JOIN docs USING (rid) GROUP BY k.rid
+), removed AS (
+  SELECT rid, sum(e - s + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM sized JOIN texts USING (rid) LEFT JOIN removed USING (rid)
+"""
