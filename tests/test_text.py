@@ -93,3 +93,34 @@ def test_prompt_uses_whole_text_or_excerpts(spark):
     assert blocks[1] == "=== FILING A1 ===\nshort text"
     assert blocks[2].startswith("=== FILING A2 ===\n[excerpt: going_concern]\ngoing concern")
     assert blocks[3].startswith("=== FILING A3 ===\n[text truncated for length]\ny y")
+
+
+def test_case_folding_equals_python(spark):
+    texts = ["ΑΣ ΣΑΣ", "Straße ẞ", "ﬁne ﬄ ﬅ", "ſharp", "İstanbul", "ΐ ŉ ǰ", "plain Text"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.f for r in df.select(T.case_folded(F.col("t")).alias("f")).collect()] == [t.casefold() for t in texts]
+
+
+def test_deeply_nested_answer_is_no_answer(spark):
+    from tallystone.operators import calls as K
+
+    texts = ["[" * 100_000, "see {\"a\": 1} here", "{bad {\"b\": [1, 2]} x", "[" * 5000 + "]" * 5000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.json_text for r in K.extract_json(df).collect()}
+    assert got[0] is None and got[1] == '{"a": 1}' and got[2] == '{"b": [1, 2]}' and got[4] is None
+
+
+def test_underscores_stand_between_digits(spark):
+    from tallystone.sources.facts import numeric_text
+
+    texts = ["1_000", "1__0", "1_", "_1", "1_0.5_0", "1._5", "1e1_0", " 7 ", "nan", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def python(t):
+        try:
+            return float(t)
+        except ValueError:
+            return None
+
+    got = [r.v for r in df.select(numeric_text(F.col("t")).alias("v")).collect()]
+    assert [str(g) for g in got] == [str(python(t)) for t in texts]
