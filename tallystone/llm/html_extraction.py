@@ -12,7 +12,7 @@ removes side boxes only, never headings, paragraphs or a branch with a quarter o
 
 Work: one pass emits (host, element, layout or text) rows of distinct pages, counted by grouped sums
 that combine before the shuffle. Unimportant elements join back to the pages that hold them, and a
-second pass extracts. A hot host is spread over its elements; no host is gathered anywhere.
+second pass extracts; pages are compressed for that shuffle. A hot host is spread over its elements; no host is gathered anywhere.
 
 Defined cases: null or empty html gives an empty text. A null url is a host of its own. Repeated
 rows and equal pages get equal texts and count once as evidence. Truncated and ill-formed pages are
@@ -28,6 +28,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,11 +243,16 @@ def extract_pages(
     low = unimportant(rows, threshold, min_pages)
     held = rows.select("host", "path", "page_hash").distinct().join(low.select("host", "path"), ["host", "path"])
     per_page = held.groupBy("host", "page_hash").agg(F.collect_set("path").alias("low"))
-    joined = page.join(per_page, ["host", "page_hash"], "left").select("page_id", "url", "html", "low")
+    squeezed = add_from_text(
+        page, "html", "packed", "blob binary",
+        lambda: lambda htmls: [{"blob": zstandard.compress(h.encode(), 3)} for h in htmls],
+    ).drop("html")
+    joined = squeezed.join(per_page, ["host", "page_hash"], "left").select("page_id", "url", "packed.blob", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h, set(low or ())) for h, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            texts = [extract(zstandard.decompress(b).decode(), set(low or ())) for b, low in pairs]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
