@@ -14,7 +14,8 @@ SAMPLE = (
     "metric_quality", "exclude_checks", "period_identity", "edgar_index", "listing_refs",
     "oim_facts", "archive_versions", "upsert_snapshots", "fx_convert_instant", "strategy_scores",
     "page_text", "call_cost_by_stage", "reasoning_split", "response_json", "report_tree",
-    "stream_archive",
+    "stream_archive", "stream_run_index", "stream_report_changes", "manifest_payloads", "report_markdown",
+    "brief_markdown", "memo_prompts", "step_digest", "verify_findings", "canonical_facts",
 )
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are absent")
 
