@@ -34,7 +34,7 @@ def add_from_text(
     `maker` runs once in a task and returns a function from a list of texts to a list of dicts.
     All columns pass through; nothing moves between tasks.
     """
-    added = T.StructField(name, T._parse_datatype_string(fields), False)
+    added = T.StructField(name, T.StructType.fromDDL(fields), False)
     schema = T.StructType([*df.schema.fields, added])
     at = df.columns.index(text_col)
     kind = arrow_struct(added.dataType)
