@@ -27,8 +27,13 @@ def _columns(names: list[str]) -> list[Column]:
     return out
 
 
+def feature_matrix(rows: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """Features in the order of ``names``, 0 where missing, each with a mark of whether it is."""
+    return rows.select(*keep, *_columns(names))
+
+
 def _vectors(rows: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
-    flat = rows.select(*keep, *_columns(names))
+    flat = feature_matrix(rows, names, keep)
     inputs = [c for i in range(len(names)) for c in (f"f{i}", f"missing{i}")]
     return VectorAssembler(inputCols=inputs, outputCol="vector").transform(flat)
 

@@ -8,9 +8,11 @@ from tallystone.functions import columns as C
 from tallystone.operators import books as B
 from tallystone.operators import calls as K
 from tallystone.operators import evidence as EV
+from tallystone.operators import learned as LN
 from tallystone.operators import snapshots as S
 from tallystone.session import fresh_path
 from tallystone.sources import reference as R
+from workload.book_queries import _picks
 from workload.screen_queries import screen
 from workload.views import VIEWS, oracle, view
 
@@ -74,6 +76,18 @@ def snapshots_for(spark, sf_dir):
 Q["snapshots_for"] = snapshots_for
 SQL["snapshots_for"] = oracle("SELECT entity_id, CAST(period_end AS VARCHAR) AS period_end, fiscal_period, revenue FROM {v_snap} WHERE entity_id IN ('1', '2', '3', '5', '8')")
 
+
+
+def gbdt_features(spark, sf_dir):
+    """The aligned matrix that the boosted baseline trains on, for the whole ledger."""
+    return LN.feature_matrix(_picks(spark, sf_dir), ["a", "b"], ["ordinal", "strategy"])
+
+
+Q["gbdt_features"] = gbdt_features
+SQL["gbdt_features"] = oracle("""
+SELECT ordinal, strategy, coalesce(f_a, 0) AS f0, CASE WHEN f_a IS NULL THEN 1.0::DOUBLE ELSE 0 END AS missing0, coalesce(f_b, 0) AS f1, CASE WHEN f_b IS NULL THEN 1.0::DOUBLE ELSE 0 END AS missing1 FROM {v_ledger}
+""")
+
 # ------------------------------------------------------------------ profiles and forms
 VIEWS["v_exported"] = """
 SELECT CAST(c_custkey AS STRING) AS entity_id, CASE WHEN c_custkey % 3 = 0 THEN '["A' || CAST(c_custkey AS STRING) || '","B"]' WHEN c_custkey % 3 = 1 THEN '[]' END AS tickers,
