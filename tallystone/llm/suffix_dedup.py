@@ -161,8 +161,9 @@ def _map_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.concatenate(([True], (mh[1:] != mh[:-1]) | (ch[1:] != ch[:-1])))
             first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
             repeat = later_in_order(doc[first], place[first], doc, place)
-            # Repeats within the block need no scan: kind REMOVED; they travel with it.
-            yield _rows(np.where(repeat, REMOVED, OPEN), mh, ch, doc, place)
+            # Repeats within the block need no scan: kind REMOVED; they are dealt by their own place.
+            own = ((doc.view(np.uint64) ^ place.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield _rows(np.where(repeat, REMOVED, OPEN), np.where(repeat, own, mh), np.where(repeat, 0, ch), doc, place)
 
 
 def _rows(kind, mh, ch, doc, place) -> pa.RecordBatch:
