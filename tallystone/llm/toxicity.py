@@ -64,7 +64,7 @@ class Extractor:
         return sorted(numbers)
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, epochs: int = EPOCHS) -> dict | None:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = EPOCHS) -> dict | None:
     """A linear model by Adam steps on the non-negative risk, with the smooth sigmoid loss.
 
     Only features take part whose texts are more likely toxic than not, as estimated from the
@@ -72,7 +72,7 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, ep
     """
     if not positive or not unlabelled or not 0 < prior < 1:
         return None
-    all_positive, all_other = (np.concatenate([np.array(r, dtype=np.int64) for r in rows]) for rows in (positive, unlabelled))
+    all_positive, all_other = np.concatenate(positive), np.concatenate(unlabelled)
     known, in_positive = np.unique(all_positive, return_counts=True)
     if not len(known):
         return None
@@ -83,14 +83,14 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], prior: float, ep
     toxic_share = prior * in_positive / len(positive)
     likely = toxic_share >= 0.5 * (in_other + 1) / len(unlabelled)
     useful = known[(in_positive >= MIN_DOCS) & likely & (surprise >= SURPRISE)]
-    place = {f: i for i, f in enumerate(useful.tolist())}
 
-    def matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(i, place[f]) for i, row in enumerate(rows) for f in row if f in place]
-        both = np.array(pairs, dtype=np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+    def matrix(rows: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of each useful feature that a row holds."""
+        hit = np.isin(flat, useful)
+        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[hit]
+        return owner, np.searchsorted(useful, flat[hit])
 
-    (po, pc), (uo, uc) = matrix(positive), matrix(unlabelled)
+    (po, pc), (uo, uc) = matrix(positive, all_positive), matrix(unlabelled, all_other)
     w, bias = np.zeros(len(useful) + 1), -2.0
     w[-1] = bias
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -131,14 +131,15 @@ def train(
     others = smallest_hashes(open_docs, unlabelled)  # confirmed rows too: the prior is of the whole corpus
     sample = chosen.unionByName(others.withColumn("confirmed", F.lit(0)))
     name = "features"
-    made = add_from_text(texts_of(sample, docs), "text", name, "x array<bigint>", _extract)
-    rows = sorted((r[0], r[1]) for r in made.select("confirmed", f"{name}.x").toLocalIterator())
-    return fit([x for c, x in rows if c], [x for c, x in rows if not c], counted or 0.0)
+    made = add_from_text(texts_of(sample, docs), "text", name, "x binary", _extract)
+    rows = sorted((r[0], bytes(r[1])) for r in made.select("confirmed", f"{name}.x").toLocalIterator())
+    positive, others = ([np.frombuffer(x, dtype="<u4") for c, x in rows if c == k] for k in (1, 0))
+    return fit(positive, others, counted or 0.0)
 
 
 def _extract():
     extract = Extractor()
-    return lambda texts: [{"x": extract(t)} for t in texts]
+    return lambda texts: [{"x": np.array(extract(t), dtype="<u4").tobytes()} for t in texts]
 
 
 def score_documents(docs: DataFrame, model: dict | None, text_col: str = "text") -> tuple[DataFrame, str]:
