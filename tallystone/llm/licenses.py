@@ -10,6 +10,11 @@ bisection for each bound.
 Defined cases: null and empty texts, and units or templates of fewer than two words, have no bigrams
 and match nothing. The best match has the highest coefficient; ties go to the first licence id.
 Repeated rows are judged row by row. An empty table gives no rows. Extra columns are left out.
+
+`find_license_runs` compares full licence texts and notices with every run of consecutive words,
+whatever the lines. A run's excess is 2c - t(a + b), at least zero from the threshold on. Runs are
+taken by falling excess, each disjoint from those before, until no free run of words reaches the
+threshold; so a text is given to the licence, and the version, that it fits best.
 """
 
 from __future__ import annotations
@@ -18,7 +23,9 @@ import bisect
 import re
 from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +57,7 @@ WORD_BYTES = bytes(
 )
 SENTENCE = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
 FIELDS = "n_matches bigint, license_ids array<string>, best_license string, best_dice double"
+TEXTS = Path(__file__).parent / "license_texts"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -118,6 +126,113 @@ def find_licenses(
     return add_from_text(docs, text_col, name, FIELDS, maker), name
 
 
+def license_texts() -> list[tuple[str, str]]:
+    """The notices above and those of the folder, and the full texts."""
+    notices = [tuple(line.split("\t", 1)) for line in (TEXTS / "notices.tsv").read_text().splitlines()]
+    return [*TEMPLATES, *notices, *((p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt")))]
+
+
+def run_matcher(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> Callable[[str | None], dict]:
+    ids: dict[tuple[bytes, bytes], int] = {}
+    known: list[tuple[int, str, dict[int, int]]] = []
+    for license_id, text in templates:
+        words = words_of(text or "")
+        if len(words) > 1:
+            pairs = Counter(zip(words, words[1:]))
+            known.append((len(words) - 1, license_id or "", {ids.setdefault(p, len(ids)): n for p, n in pairs.items()}))
+    holders: dict[int, list[tuple[int, int]]] = {}
+    for t, (_, _, pairs) in enumerate(known):
+        for p, n in pairs.items():
+            holders.setdefault(p, []).append((t, n))
+    share = threshold / (2 - threshold)
+
+    def candidates(at: list[int], seq: list[int]) -> list[tuple]:
+        """The best run from each start, for places `at` of known pairs `seq` within a free stretch."""
+        common: dict[int, int] = {}
+        for p, c in Counter(seq).items():
+            for t, n in holders[p]:
+                common[t] = common.get(t, 0) + min(c, n)
+        out = []
+        for t, c in common.items():
+            size, license_id, quota = known[t]
+            if c < share * size - 1e-9:  # a run that reaches the threshold holds that share of the template
+                continue
+            own = [k for k, p in enumerate(seq) if p in quota]
+            pos, kind = np.array([at[k] for k in own]), [seq[k] for k in own]
+            before, rank = Counter(), []
+            for p in kind:
+                rank.append(before[p])
+                before[p] += 1
+            number = {p: i for i, p in enumerate(dict.fromkeys(kind))}
+            num, rank = np.array([number[p] for p in kind]), np.array(rank)
+            end_of = np.array([quota[p] for p in number])  # ranks below this one count
+            stop = np.searchsorted(pos, pos + size / share + 1e-6, "left")
+            for i in range(len(pos)):
+                if stop[i] - i >= share * size - 1e-9:
+                    cut = slice(i, stop[i])
+                    held = np.cumsum(rank[cut] < end_of[num[cut]])
+                    long = pos[cut] - pos[i] + 1
+                    excess = 2 * held - threshold * (long + size)
+                    k = int(np.argmax(excess))
+                    if excess[k] >= -1e-9:
+                        out.append((-float(excess[k]), int(pos[i]), int(pos[i + k]) + 1, license_id, float(2 * held[k] / (long[k] + size))))
+                end_of[num[i]] += 1
+        return out
+
+    def match(text: str | None) -> dict:
+        words = words_of(text or "")
+        get = ids.get
+        pairs = [(k, p) for k, w in enumerate(zip(words, words[1:])) if (p := get(w)) is not None]
+        taken: list[tuple] = []
+        todo = [pairs] if pairs else []
+        while todo:
+            stretch = todo.pop()
+            chosen: list[tuple[int, int]] = []
+            for run in sorted(candidates([k for k, _ in stretch], [p for _, p in stretch])):
+                # A run of n pairs has n + 1 words, so runs that share a word share or touch a pair.
+                at = bisect.bisect_left(chosen, (run[1], run[2]))
+                if (at == 0 or chosen[at - 1][1] < run[1]) and (at == len(chosen) or run[2] < chosen[at][0]):
+                    chosen.insert(at, (run[1], run[2]))
+                    taken.append(run)
+            if chosen:
+                edges = [-1, *(x for a, b in chosen for x in (a - 1, b)), len(words)]
+                for low, high in zip(edges[::2], edges[1::2]):
+                    a, b = (bisect.bisect_left(stretch, (x,)) for x in (low + 1, high))
+                    if a < b:
+                        todo.append(stretch[a:b])
+        if not taken:
+            return {"n_matches": 0, "license_ids": [], "best_license": None, "best_dice": None}
+        best = min(taken, key=lambda x: (-x[4], x[0], x[3]))
+        return {"n_matches": len(taken), "license_ids": sorted({x[3] for x in taken}), "best_license": best[3], "best_dice": best[4]}
+
+    return match
+
+
+def find_license_runs(
+    docs: DataFrame, templates: list[tuple[str, str]] | None = None, text_col: str = "text", threshold: float = THRESHOLD
+) -> tuple[DataFrame, str]:
+    """Documents with a struct of matching runs, and the name of that column."""
+    name = free_name(docs, "licenses")
+    given = license_texts() if templates is None else list(templates)
+
+    def maker():
+        match = run_matcher(given, threshold)
+        return lambda texts: [match(t) for t in texts]
+
+    return add_from_text(docs, text_col, name, FIELDS, maker), name
+
+
+def op7_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = find_license_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col(f"{name}.n_matches").alias("n_matches"),
+        F.array_join(f"{name}.license_ids", ",").alias("license_ids"),
+        F.col(f"{name}.best_license").alias("best_license"),
+        F.col(f"{name}.best_dice").alias("best_dice"),
+    )
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(

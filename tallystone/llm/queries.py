@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_license_scans": licenses.op7_license_scans,
+    "op7_license_texts": licenses.op7_license_texts,
     "op8_packing": packing.op8_packing,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,

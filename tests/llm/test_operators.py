@@ -1,6 +1,7 @@
 """Each operator against its plain version, on awkward rows."""
 
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -215,6 +216,42 @@ def test_op7_matches_notices(spark):
     assert got[8]["n_matches"] == 2
 
 
+def test_op7_texts_finds_wrapped_notices_versions_and_full_texts(spark):
+    texts = licenses.license_texts()
+    full = {i: t for i, t in texts if i in ("BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "MIT", "Apache-2.0")}
+    later = next(t for i, t in texts if i == "GPL-2.0" and "any later" in t)
+    header = "import os\n" + "\n".join("# " + x for x in textwrap.wrap(later, 60)) + "\n" + "x y z\n" * 400
+    docs = [(i, f"some words\n{t}\nmore words of a readme") for i, t in full.items()]
+    docs += [("header", header), ("v2", "This work is licensed under the GNU General Public License, version 2"), ("v3", "This work is licensed under the GNU General Public License, version 3"),
+             ("two", "All rights reserved.\n" * 2), ("edited", full["BSD-3-Clause"].replace("COPYRIGHT HOLDER", "ACME CORP")), ("none", None), ("empty", ""), ("plain", "nothing of the license")]
+    found, name = licenses.find_license_runs(spark.createDataFrame(docs, "doc_id string, text string"))
+    got = {r["doc_id"]: r[name] for r in found.collect()}
+    want = {i: [i] for i in full} | {"header": ["GPL-2.0"], "v2": ["GPL-2.0"], "v3": ["GPL-3.0"], "two": ["Reserved"], "edited": ["BSD-3-Clause"], "none": [], "empty": [], "plain": []}
+    assert {d: r["license_ids"] for d, r in got.items()} == want
+    assert got["two"]["n_matches"] == 2 and got["header"]["best_dice"] == 1.0
+
+
+def test_op7_texts_miss_no_run():
+    """Any run of words at the threshold gives a match, and the first match has the greatest excess."""
+    rng = random.Random(8)
+    for _ in range(60):
+        templates = [(f"L{k}", " ".join(rng.choice("abcd") for _ in range(rng.randint(2, 9)))) for k in range(3)]
+        words = [rng.choice("abcdef") for _ in range(rng.randint(0, 25))]
+        best = None
+        for i in range(len(words)):
+            for j in range(i + 2, len(words) + 1):
+                run = Counter(zip(words[i:j], words[i + 1 : j]))
+                for k, t in templates:
+                    pairs = Counter(zip(t.split(), t.split()[1:]))
+                    both, n = sum((run & pairs).values()), j - i - 1 + sum(pairs.values())
+                    if 2 * both >= 0.8 * n - 1e-9:
+                        best = max(best or (0, 0, ""), (round(2 * both - 0.8 * n, 6), 2 * both / n, k))
+        got = licenses.run_matcher(templates)(" ".join(words))
+        assert (got["n_matches"] > 0) == (best is not None)
+        if best:
+            assert got["best_dice"] >= best[1] - 1e-9
+
+
 def test_op8_pieces_rebuild_the_ids(spark, folder):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces = sorted(QUERIES["op8_packing"](spark, folder).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
