@@ -7,15 +7,19 @@ both scaled to 0..1 by the number of occurrences; without enough occurrences it
 noise when nothing in it reaches the threshold: a menu with the same entries on every page, a fixed
 footer. Marks in the page itself act as the prior: navigation, form, aside and similar elements,
 and classes that name adverts, notices or comments are noise on any host, also one with a single
-page. Where a page has an article element, text comes from it alone; inside it, low importance
-removes side boxes only, never headings, paragraphs or a branch with a quarter of the text.
+page. Where a page has an article element, text comes from it alone; inside it, repetition alone
+removes nothing: a branch of low importance goes only if at least half of its text is links, and
+never headings, paragraphs or a branch with a quarter of the text.
+
+Equal pages, and pages whose articles share their least hash of word triples, count once as
+evidence: the near copies of one article fall into a few such groups, however many they are.
 
 Work: one pass emits (host, element, layout or text) rows of distinct pages, counted by grouped sums
 that combine before the shuffle. Unimportant elements join back to the pages that hold them, and a
 second pass extracts; pages are compressed for that shuffle. A hot host is spread over its elements; no host is gathered anywhere.
 
 Defined cases: null or empty html gives an empty text. A null url is a host of its own. Repeated
-rows and equal pages get equal texts and count once as evidence. Truncated and ill-formed pages are
+rows and equal pages get equal texts. Truncated and ill-formed pages are
 read as far as they go, unclosed elements end with their parents. An empty table gives no rows.
 Extra columns are left out.
 """
@@ -26,6 +30,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from tallystone.llm.common import add_from_text, table
 from tallystone.session import materialize
 
-THRESHOLD, MIN_PAGES, SIDE_SHARE = 0.35, 4, 0.25
+THRESHOLD, MIN_PAGES, SIDE_SHARE, LINK_SHARE = 0.35, 4, 0.25, 0.5
 
 # Element names of the HTML standard by their role, and words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -61,6 +66,7 @@ NOISE_WORDS = frozenset(
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 LETTERS = re.compile(r"[a-z]+")
 MARKED = re.compile(r"<!\[[^>]*>")
+ARTICLE, ARTICLE_END, TAG = re.compile(r"<article\b", re.I), re.compile(r"</article\b", re.I), re.compile(r"<[^>]*>")
 
 
 class Node:
@@ -162,16 +168,34 @@ def style_rows(root: Node) -> list[dict]:
     return out
 
 
+def evidence_key(html: str) -> int:
+    """Equal for pages that count once: equal pages, and most near copies of an article."""
+    start = ARTICLE.search(html)
+    words: list[str] = []
+    if start is not None:
+        end = ARTICLE_END.search(html, start.end())
+        words = TAG.sub(" ", html[start.start() : end.start() if end else len(html)]).split()
+    if len(words) < 3:
+        return _signed(xxhash.xxh64_intdigest(html.encode()))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    mixed = (h[:-2] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:-1]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) + h[2:]
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return _signed(int((mixed ^ (mixed >> np.uint64(31))).min()))
+
+
 def extract(html: str | None, low: set[int]) -> str:
     """The main text, given the unimportant elements of the page's host."""
     root = parse(html)
     nodes = walk(root)
     size = {id(n): sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in nodes}
+    linked = dict.fromkeys(size, 0)  # text in links
     weak = {id(n): n is not root and _signed(n.path) in low for n in nodes}
     for n in reversed(nodes):  # children before parents
         if n.parent is not None:
             if not n.noise:
                 size[id(n.parent)] += size[id(n)]
+                linked[id(n.parent)] += size[id(n)] if n.tag == "a" else linked[id(n)]
             if not weak[id(n)] and (size[id(n)] or n.children):
                 weak[id(n.parent)] = False
     mains = _outermost(root, lambda n: n.tag == "article") or _outermost(root, lambda n: n.tag == "main" or "#main" in n.name)
@@ -185,8 +209,8 @@ def extract(html: str | None, low: set[int]) -> str:
             continue
         node, inside = item
         if weak[id(node)] and size[id(node)]:
-            small = size[id(node)] < SIDE_SHARE * total
-            if not inside or (node.tag not in TEXTUAL and small):
+            side = size[id(node)] < SIDE_SHARE * total and linked[id(node)] >= LINK_SHARE * size[id(node)]
+            if not inside or (node.tag not in TEXTUAL and side):
                 continue
         edge = "\x00" if node.tag in BLOCKS else " " if node.tag == "br" else ""
         todo.append(edge)
@@ -232,22 +256,22 @@ def extract_pages(
 ) -> DataFrame:
     """Rows (page_id, url, text), one a page."""
     page = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    page = page.withColumn("host", host_of(F.col("url"))).withColumn("page_hash", F.xxhash64("html"))
+    page = page.withColumn("host", host_of(F.col("url")))
     made = add_from_text(
-        page.select("host", "page_hash", "html"), "html", "style", "rows array<struct<path:bigint,kind:int,value:bigint>>",
-        lambda: lambda htmls: [{"rows": style_rows(parse(h))} for h in htmls],
+        page.select("host", "html"), "html", "style", "key bigint, rows array<struct<path:bigint,kind:int,value:bigint>>",
+        lambda: lambda htmls: [{"key": evidence_key(h), "rows": style_rows(parse(h))} for h in htmls],
     )
-    rows = made.select("host", "page_hash", F.explode("style.rows").alias("r")).select("host", "page_hash", "r.*")
-    # Equal pages are one; how often an element stands on a page does not matter, what it holds does.
+    rows = made.select("host", "style.key", F.explode("style.rows").alias("r")).select("host", "key", "r.*")
+    # Pages of one key are one; how often an element stands on a page does not matter, what it holds does.
     rows = materialize(rows.distinct(), "style")
     low = unimportant(rows, threshold, min_pages)
-    held = rows.select("host", "path", "page_hash").distinct().join(low.select("host", "path"), ["host", "path"])
-    per_page = held.groupBy("host", "page_hash").agg(F.collect_set("path").alias("low"))
+    held = rows.select("host", "path", "key").distinct().join(low.select("host", "path"), ["host", "path"])
+    per_page = held.groupBy("host", "key").agg(F.collect_set("path").alias("low"))
     squeezed = add_from_text(
-        page, "html", "packed", "blob binary",
-        lambda: lambda htmls: [{"blob": zstandard.compress(h.encode(), 3)} for h in htmls],
-    ).drop("html")
-    joined = squeezed.join(per_page, ["host", "page_hash"], "left").select("page_id", "url", "packed.blob", "low")
+        page, "html", "packed", "key bigint, blob binary",
+        lambda: lambda htmls: [{"key": evidence_key(h), "blob": zstandard.compress(h.encode(), 3)} for h in htmls],
+    ).select("page_id", "url", "host", "packed.*")
+    joined = squeezed.join(per_page, ["host", "key"], "left").select("page_id", "url", "blob", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -317,6 +317,35 @@ def test_op9_style_tree_removes_what_repeats_on_a_host(spark):
     assert [got[i] for i in range(8)] == bodies and got[100] == "Home About us Contact x"
 
 
+def test_op9_articles_keep_what_repeats_but_links(spark):
+    """Tables, definition lists, captions and lists the same on all pages stay in articles; boxes of links go."""
+    rng = random.Random(6)
+    parts = (
+        "<table><caption>Rates<tr><th>Year<th>Rate<tr><td>2020<td>5</table><dl><dt>Term<dd>Meaning</dl>"
+        "<figure><figcaption>Figure one</figcaption></figure><ul><li>First point<li>Second point</ul>"
+    )
+    links = "<div class=box><a href=/a>More here</a> <a href=/b>And there</a></div>"
+    bodies = [sentence(rng, 60) for _ in range(8)]
+    pages = [(i, f"http://same.example/{i}", f"<article><p>{b}</p>{parts}{links}</article>") for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(df).collect()}
+    assert got == {i: f"{b} Rates Year Rate 2020 5 Term Meaning Figure one First point Second point" for i, b in enumerate(bodies)}
+
+
+def test_op9_near_copies_are_little_evidence(spark):
+    """Many near copies of one article do not take the lists of links from the other pages of their host."""
+    rng = random.Random(7)
+    article = "<article><p>{}</p><ul><li><a>{}</a><li><a>{}</a></ul></article>"
+    base, a, b = sentence(rng, 200), sentence(rng, 3), sentence(rng, 3)
+    pages = [(i, f"http://h.example/{i}", article.format(f"{base} tail{i}", a, b)) for i in range(300)]
+    other = [(sentence(rng, 100), sentence(rng, 3), sentence(rng, 3)) for _ in range(10)]
+    pages += [(1000 + i, f"http://h.example/o{i}", article.format(*o)) for i, o in enumerate(other)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(df).collect()}
+    assert all(got[1000 + i] == " ".join(o) for i, o in enumerate(other))
+    assert got[7] == f"{base} tail7 {a} {b}"
+
+
 def test_op9_deep_pages():
     html = "<div>" * 30_000 + "deep" + "</div>" * 30_000
     assert html_extraction.extract(html, set()) == "deep"
