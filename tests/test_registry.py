@@ -45,3 +45,15 @@ def test_query_equals_sql(spark, name):
     a = [df.columns.index(c) for c in sorted(names)]
     b = [names.index(c) for c in sorted(names)]
     assert sorted(str([r[i] for i in a]) for r in got) == sorted(str([r[i] for i in b]) for r in want)
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["analyst_prompts_excerpts", "skeptic_prompts_excerpts"])
+def test_prompts_hold_the_excerpts_of_all_filings(spark, name):
+    test_query_equals_sql(spark, name)
+    lines = entry.queries()[name](spark, SMALL).where("section = 2 and part = 1").collect()
+    entities = {r["entity_id"] for r in entry.queries()[name](spark, SMALL).where("section = 0").collect()}
+    want = [r for r in entry.queries()["red_flag_excerpts"](spark, SMALL).collect() if r["entity_id"] in entities]
+    got = sorted((r["entity_id"], r["line"]) for r in lines)
+    assert got == sorted((r["entity_id"], f"  [{r['accession']} / {r['category']}] {r['text']}") for r in want)
+    assert {int(r["accession"][1:]) % 3 for r in want} == {0, 1, 2} and any(r["char_start"] >= 90 for r in want)

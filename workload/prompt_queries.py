@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tallystone.operators import evidence as EV
 from tallystone.operators import prompts as P
 from tallystone.operators import reports as RP
+from tallystone.operators.ranking import with_rank
+from tallystone.session import materialize
 from workload.call_queries import _REASONS, _rows
 from workload.screen_queries import report
-from workload.text_queries import _V, _sources, _verified, SQL as TEXT_SQL
+from workload.text_queries import _V, _numbered, _sources, _verified, red_flag_excerpts, SQL as TEXT_SQL
 from workload.views import VIEWS, oracle, view
 
 Q: dict = {}
@@ -48,6 +50,24 @@ def memo_prompts(spark, sf_dir):
     ))
 
 
+def _stored_parts(spark, sf_dir):
+    """Blocks, findings and, as passages, the excerpts of all filings by accession and place; each read several times."""
+    blocks, verified = _parts(spark, sf_dir)
+    found = materialize(red_flag_excerpts(spark, sf_dir), "excerpts")
+    passages = with_rank(found, ["entity_id"], [F.col("accession"), F.col("n")], "position")
+    return materialize(blocks, "blocks"), materialize(verified, "verified"), materialize(passages, "passages")
+
+
+def analyst_prompts_excerpts(spark, sf_dir):
+    return _out(P.analyst_lines(*_stored_parts(spark, sf_dir)))
+
+
+def skeptic_prompts_excerpts(spark, sf_dir):
+    return _out(P.skeptic_lines(*_stored_parts(spark, sf_dir), view(spark, sf_dir, "v_points")))
+
+
+Q["analyst_prompts_excerpts"] = analyst_prompts_excerpts
+Q["skeptic_prompts_excerpts"] = skeptic_prompts_excerpts
 Q["analyst_prompts"] = analyst_prompts
 Q["skeptic_prompts"] = skeptic_prompts
 Q["memo_prompts"] = memo_prompts
@@ -103,6 +123,12 @@ _MEMO = (
 )
 for _name, _template in (("analyst_prompts", _ANALYST), ("skeptic_prompts", _SKEPTIC), ("memo_prompts", _MEMO)):
     SQL[_name] = _HEAD + " UNION ALL ".join(_template) + _TAIL
+_EXCERPT_HEAD = _HEAD.replace(
+    "SELECT p.* FROM v_passages p JOIN o_blocks USING (entity_id)",
+    f"SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY accession, n) AS position, accession, category, text FROM ({_numbered('v_filings')}) p JOIN o_blocks USING (entity_id)",
+)
+for _name, _template in (("analyst_prompts_excerpts", _ANALYST), ("skeptic_prompts_excerpts", _SKEPTIC)):
+    SQL[_name] = _EXCERPT_HEAD + " UNION ALL ".join(_template) + _TAIL
 
 # ------------------------------------------------------------------ investigation briefs
 VIEWS["v_briefs"] = """
