@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tallystone.llm import decontaminate, html_extraction, licenses, packing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, toxicity
+from tallystone.llm import (
+    decontaminate, html_extraction, licenses, line_dedup, packing, quality_classifier, quality_rules, secrets, simhash,
+    suffix_dedup, toxicity,
+)
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -16,6 +19,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 ORACLES = {
     "op1_suffix_array_dedup": suffix_dedup.OP1_SQL,
@@ -23,4 +27,5 @@ ORACLES = {
     "op3_benchmark_decontamination": decontaminate.OP3_SQL,
     "op6_secret_scans": secrets.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
 }

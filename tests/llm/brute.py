@@ -107,3 +107,22 @@ def secrets(text):
             if size >= (8, 16, 32)[k]:
                 spans.append((m.start(), k, m.end(), name))
     return [f"{n}:{a}:{b}" for a, _, b, n in sorted(spans)]
+
+
+def line_drops(rows, least=10):
+    """op11 for rows (doc_id, text): doc_id, number of lines, number dropped, digest of the rest."""
+    space = " \t\n\x0b\x0c\r"
+    number = lambda d: -(1 << 63) if d is None else d
+    first, holders = {}, {}
+    for d, t in rows:
+        for x in (t or "").split("\n"):
+            k = lower(x.strip(space))
+            if len(k) >= least:
+                holders.setdefault(k, set()).add(number(d))
+    first = {k: min(v) for k, v in holders.items()}
+    out = []
+    for d, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if first.get(lower(x.strip(space)), number(d)) == number(d)]
+        out.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    return out

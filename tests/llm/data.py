@@ -52,7 +52,9 @@ BENCHMARK = [
 ]
 
 
-def write(spark, folder: str, docs=None, labels=LABELS, benchmark=BENCHMARK, pages=(), extra: bool = False) -> str:
+def write(
+    spark, folder: str, docs=None, labels=LABELS, benchmark=BENCHMARK, pages=(), embeddings=(), turns=(), extra: bool = False
+) -> str:
     def save(name, rows, schema):
         df = spark.createDataFrame(list(rows), schema)
         if extra:  # names that operators use themselves
@@ -64,5 +66,7 @@ def write(spark, folder: str, docs=None, labels=LABELS, benchmark=BENCHMARK, pag
     save("documents", documents() if docs is None else docs, DOC_SCHEMA)
     save("labels", labels, "doc_id long, quality int, toxic int")
     save("benchmark", benchmark, "item_id long, text string")
+    save("embeddings", embeddings, "vec_id long, embedding array<float>, label int")
+    save("conversations", turns, "conv_id long, turn long, role string, text string")
     save("pages", pages, "page_id long, url string, html string")
     return folder
