@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallystone.llm import (
     decontaminate, html_extraction, licenses, line_dedup, packing, quality_classifier, quality_rules, secrets, simhash,
-    suffix_dedup, toxicity,
+    suffix_dedup, toxicity, whitening,
 )
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
 }
 ORACLES = {
     "op1_suffix_array_dedup": suffix_dedup.OP1_SQL,
