@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tallystone.llm import (
-    decontaminate, html_extraction, licenses, line_dedup, packing, quality_classifier, quality_rules, secrets, simhash,
-    suffix_dedup, toxicity, whitening,
+    decontaminate, html_extraction, licenses, line_dedup, packing, prefix_trie, quality_classifier, quality_rules,
+    secrets, simhash, suffix_dedup, toxicity, whitening,
 )
 
 QUERIES = {
@@ -21,6 +21,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_conversation_prefix_trie": prefix_trie.op13_conversation_prefix_trie,
 }
 ORACLES = {
     "op1_suffix_array_dedup": suffix_dedup.OP1_SQL,
@@ -29,4 +30,5 @@ ORACLES = {
     "op6_secret_scans": secrets.OP6_SQL,
     "op7_license_scans": licenses.OP7_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
+    "op13_conversation_prefix_trie": prefix_trie.OP13_SQL,
 }
