@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from tallystone import schemas
 from tallystone.functions.columns import path_component
 from tallystone.operators.ranking import with_rank
 from tallystone.session import materialize
+from tallystone.sources.keyed import KeyedTable, Version, without
 
 DOC_KEY = ["source", "doc_id"]
 CONTENT_KEY = [*DOC_KEY, "content_sha256"]
@@ -50,8 +50,8 @@ def read_payloads(spark: SparkSession, payload_path: str, manifest: DataFrame) -
 
     Payloads of a run that failed before its manifest rows were written are never read.
     """
-    payloads = spark.read.parquet(payload_path)
-    return manifest.join(payloads, ["run", "source", "harvest_day", "doc_id", "version"])
+    key = ["run", "source", "harvest_day", "doc_id", "version"]
+    return manifest.join(spark.read.parquet(payload_path).select(*key, "content"), key)
 
 
 def read_payload_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
@@ -128,16 +128,16 @@ def plan_documents(batch: DataFrame, manifest: DataFrame) -> DataFrame:
 def put_documents(batch: DataFrame, manifest_path: str, payload_path: str, manifest: DataFrame) -> None:
     """Append new versions under a run of their own, which their manifest rows name.
 
-    Payloads go first, so a manifest row never lacks its payload; a rerun after a failure gets
-    another run, so nothing is read twice.
+    Payloads go first, with their manifest fields, so a manifest row never lacks its payload; the
+    manifest is read back from them without their bytes. A rerun after a failure gets another run,
+    so nothing is read twice.
     """
     run = uuid.uuid4().hex
-    planned = materialize(plan_documents(batch, manifest), "documents").withColumn("run", F.lit(run))
-    planned.select("run", "source", "harvest_day", "doc_id", "version", "content").write.mode(
-        "append"
-    ).partitionBy("run", "source", "harvest_day").parquet(payload_path)
-    fields = [c for c in planned.columns if c not in ("content", "arrival")]
-    planned.select(
+    planned = plan_documents(batch, manifest).drop("arrival").withColumn("run", F.lit(run))
+    planned.write.mode("append").partitionBy("run", "source", "harvest_day").parquet(payload_path)
+    fields = ["run", *[c for c in planned.columns if c not in ("content", "run")]]
+    stored = batch.sparkSession.read.schema(planned.schema).parquet(payload_path).where(F.col("run") == run)
+    stored.select(
         *fields, F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ingested_at")
     ).write.mode("append").partitionBy("source", "harvest_day").json(manifest_path)
 
@@ -206,21 +206,15 @@ def last_in_batch(batch: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     return batch.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def _without(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = gone.select(*[F.col(k).alias(f"__g_{k}") for k in keys]).distinct()
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__g_{k}")) for k in keys])
-    return existing.join(renamed, on, "left_anti")
-
-
 def replace_raw_facts(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """All facts of the accessions in the batch are replaced; other accessions stay."""
-    return _without(existing, batch, ["accession"]).unionByName(batch)
+    return without(existing, batch, ["accession"]).unionByName(batch)
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
     """Replace rows by key, NULL equal to NULL; the last row of the batch wins."""
     newest = last_in_batch(batch, keys, ordinal).drop(ordinal)
-    return _without(existing, newest, keys).unionByName(newest)
+    return without(existing, newest, keys).unionByName(newest)
 
 
 SNAPSHOT_KEY = ["entity_id", "period_end", "fiscal_period"]
@@ -239,8 +233,30 @@ def upsert_canonical_facts(existing: DataFrame, batch_headers: DataFrame, batch_
     kept = batch_facts.join(
         winners.select("__a").distinct(), F.col("accession") == F.col("__a"), "left_semi"
     )
-    return _without(existing, batch_headers, SNAPSHOT_KEY).unionByName(kept)
+    return without(existing, batch_headers, SNAPSHOT_KEY).unionByName(kept)
 
 
 def upsert_profiles(existing: DataFrame, batch: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     return upsert(existing, batch, ["entity_id"], ordinal)
+
+
+# ------------------------------------------------------------------ replacement in stored tables
+# The same rules on tables in key-hash buckets: a write reads and rewrites the buckets of its keys.
+def store_raw_facts(table: KeyedTable, batch: DataFrame) -> Version:
+    """``table`` is keyed by accession."""
+    return table.replace(batch.select("accession"), batch)
+
+
+def store_snapshots(table: KeyedTable, batch: DataFrame, ordinal: str = "ordinal") -> Version:
+    """``table`` is keyed by SNAPSHOT_KEY or, for profiles, by entity_id; the last row of the batch wins."""
+    newest = materialize(last_in_batch(batch, table.keys, ordinal).drop(ordinal), "newest")
+    return table.replace(newest, newest)
+
+
+store_profiles = store_snapshots
+
+
+def store_canonical_facts(table: KeyedTable, batch_headers: DataFrame, batch_facts: DataFrame) -> Version:
+    """``table`` is keyed by SNAPSHOT_KEY; facts of superseded filings are not kept."""
+    accessions = batch_headers.select("accession").distinct()
+    return table.replace(batch_headers, batch_facts.join(accessions, "accession", "left_semi"))

@@ -9,6 +9,7 @@ from tallystone.operators import archive as A
 from tallystone.operators import fx as X
 from tallystone.operators import ingest as I
 from tallystone.session import fresh_path
+from tallystone.sources.keyed import KeyedTable
 from workload.views import HEADER, VIEWS, oracle, view
 
 Q: dict = {}
@@ -124,12 +125,22 @@ FROM ({_outcome_sql('skip')} UNION ALL {_outcome_sql('refetch')}) t GROUP BY ALL
 """)
 
 # ------------------------------------------------------------------ stored tables
+def _stored(spark, label, rows, keys):
+    """The rows as a stored table of 16 buckets, read and rewritten by bucket from here on."""
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    table = KeyedTable(spark, fresh_path(spark, label), schema, keys, buckets=16)
+    table.append(rows)
+    return table
+
+
 def replace_raw_facts(spark, sf_dir):
     facts = view(spark, sf_dir, "v_raw_facts")
     year = F.substring_index("accession", "-", -1).cast("int")
     existing = facts.where(year <= 1999)
     batch = facts.where((year >= 1999) & (F.col("fact_ordinal") < 8)).withColumn("value", F.col("value") + 1)
-    return A.replace_raw_facts(existing, batch).groupBy("accession").agg(
+    table = _stored(spark, "raw_facts", existing, ["accession"])
+    A.store_raw_facts(table, batch)
+    return table.read().groupBy("accession").agg(
         F.count(F.lit(1)).alias("facts"), F.min("value").alias("lowest"), F.max("value").alias("highest")
     )
 
@@ -150,8 +161,9 @@ def upsert_snapshots(spark, sf_dir):
     batch = snap.where("fiscal_year >= 1999").withColumn("ordinal", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
         "revenue", F.col("revenue") + F.col("ordinal")
     )
-    merged = A.upsert_snapshots(existing, batch)
-    return merged.select("entity_id", F.col("period_end").cast("string").alias("period_end"), "fiscal_period", "revenue")
+    table = _stored(spark, "snapshots", existing, A.SNAPSHOT_KEY)
+    A.store_snapshots(table, batch)
+    return table.read().select("entity_id", F.col("period_end").cast("string").alias("period_end"), "fiscal_period", "revenue")
 
 
 Q["upsert_snapshots"] = upsert_snapshots
@@ -170,8 +182,9 @@ def upsert_facts(spark, sf_dir):
     facts = long_facts(snap).select(*key, "concept", "value", "accession")
     batch_headers = snap.where("fiscal_year >= 2000").select(*key, "accession")
     batch = facts.join(batch_headers.select("accession"), "accession").where("concept <> 'capex'").select(*facts.columns)
-    merged = A.upsert_canonical_facts(facts, batch_headers, batch)
-    return merged.groupBy("accession").agg(F.count(F.lit(1)).alias("concepts"), F.bool_or(F.col("concept") == "capex").alias("has_capex"))
+    table = _stored(spark, "facts", facts, key)
+    A.store_canonical_facts(table, batch_headers, batch)
+    return table.read().groupBy("accession").agg(F.count(F.lit(1)).alias("concepts"), F.bool_or(F.col("concept") == "capex").alias("has_capex"))
 
 
 Q["upsert_facts"] = upsert_facts
@@ -189,7 +202,9 @@ def upsert_profiles(spark, sf_dir):
     batch = p.where(F.col("entity_id").cast("long") % 2 == 0).select(
         "entity_id", F.concat(F.lit("New "), "name").alias("name"), "country", F.lit(1).alias("ordinal")
     )
-    return A.upsert_profiles(p, batch)
+    table = _stored(spark, "profiles", p, ["entity_id"])
+    A.store_profiles(table, batch)
+    return table.read()
 
 
 Q["upsert_profiles"] = upsert_profiles
