@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
+from tallystone.functions import number_text as N
 
 
 def col(c: Column | str) -> Column:
@@ -162,69 +163,34 @@ def human_bytes(count) -> Column:
     n = col(count).cast("double")
     return (
         F.when(n < 1024, F.format_string("%d B", col(count).cast("long")))
-        .when(n < 1024**2, F.format_string("%,.1f KB", n / 1024))
-        .when(n < 1024**3, F.format_string("%,.1f MB", n / 1024**2))
-        .otherwise(F.format_string("%,.1f GB", n / 1024**3))
+        .when(n < 1024**2, F.concat(N.fixed(n / 1024, 1, grouped=True), F.lit(" KB")))
+        .when(n < 1024**3, F.concat(N.fixed(n / 1024**2, 1, grouped=True), F.lit(" MB")))
+        .otherwise(F.concat(N.fixed(n / 1024**3, 1, grouped=True), F.lit(" GB")))
     )
 
 
-def fixed(value, digits: int, grouped: bool = False) -> Column:
-    """Fixed-point text; ties go to the even digit."""
-    flag = "," if grouped else ""
-    return F.format_string(f"%{flag}.{digits}f", F.bround(col(value), digits))
-
-
 def metric_display(value, kind) -> Column:
     v, k = col(value), col(kind)
     return (
         F.when(v.isNull(), F.lit("—"))
         .when(v == float("inf"), F.lit("∞"))
-        .when(k == "pct", F.format_string("%+.1f%%", v * 100))
-        .when(k == "ratio", F.format_string("%.2f", v))
-        .when((k == "score") & (v == F.floor(v)), F.format_string("%.0f", v))
-        .when(k == "score", F.format_string("%.2f", v))
+        .when(k == "pct", signed_percent(v))
+        .when(k == "ratio", N.fixed(v, 2))
+        .when((k == "score") & (v == F.floor(v)), N.fixed(v, 0))
+        .when(k == "score", N.fixed(v, 2))
         .when(k == "flag", F.when(v != 0, F.lit("yes")).otherwise(F.lit("no")))
-        .when(k == "count", F.format_string("%.1f", v))
-        .when(k == "currency", fixed(v, 0, grouped=True))
-        .otherwise(F.format_string("%.4f", v))
+        .when(k == "count", N.fixed(v, 1))
+        .when(k == "currency", N.fixed(v, 0, grouped=True))
+        .otherwise(N.fixed(v, 4))
     )
 
 
 def signed_percent(value) -> Column:
-    return F.format_string("%+.1f%%", col(value) * 100)
+    return N.percent(col(value), 1, signed=True)
 
 
 def significant(value, digits: int = 4) -> Column:
-    """General format with a number of significant digits, trailing zeros removed.
-
-    Exponents outside -4 .. digits use the e+XX notation.
-    """
-    v = col(value)
-    scientific = F.format_string(f"%.{digits - 1}e", v)
-    exponent = F.regexp_extract(scientific, r"e([+-]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_extract(scientific, r"^(.*)e[+-]\d+$", 1)
-    trim_zeros = lambda c: F.regexp_replace(
-        F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", ""
-    )
-    fixed = None
-    for decimals in range(0, digits + 4):
-        power = digits - 1 - decimals
-        text = F.format_string(f"%.{decimals}f", v)
-        fixed = (
-            F.when(exponent == power, text) if fixed is None else fixed.when(exponent == power, text)
-        )
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(v), F.lit("nan"))
-        .when(v == float("inf"), F.lit("inf"))
-        .when(v == float("-inf"), F.lit("-inf"))
-        .when(v == 0, F.lit("0"))
-        .when(
-            exponent.between(-4, digits - 1),
-            trim_zeros(fixed),
-        )
-        .otherwise(F.concat(trim_zeros(mantissa), F.lit("e"), F.regexp_extract(scientific, r"e(.*)$", 1)))
-    )
+    return N.significant(col(value), digits)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallystone import vocabulary as V
 from tallystone.functions import text as T
 from tallystone.functions.columns import significant
+from tallystone.functions.number_text import percent
 from tallystone.session import materialize
 
 FINDING_KEY = ["entity_id", "finding_ordinal"]
@@ -123,10 +124,9 @@ def fabrication_rates(verified: DataFrame) -> DataFrame:
         F.count_if(~F.col("verified")).alias("dropped"),
         F.avg((~F.col("verified")).cast("int")).alias("rate"),
     )
-    text = F.format_string(
-        "high citation-failure rate (%.0f%%): the extractor invented quotes for this "
-        "candidate -- treat its findings with extra caution",
-        F.col("rate") * 100,
+    text = F.concat(
+        F.lit("high citation-failure rate ("), percent(F.col("rate")),
+        F.lit("): the extractor invented quotes for this candidate -- treat its findings with extra caution"),
     )
     return rates.withColumn("warning", F.when(F.col("rate") > V.FABRICATION_WARNING, text))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
 from tallystone.functions.columns import clip, first_reason, safe_div
+from tallystone.functions.number_text import fixed
 from tallystone.operators.snapshots import annual_pair, latest_snapshot
 
 Get = Callable[[str], Column]
@@ -325,8 +326,8 @@ def roic() -> Column:
             note(raw.isNull(), "effective tax rate unavailable; assumed 21%"),
             note(
                 outside,
-                F.format_string(
-                    "effective tax rate %.2f outside [0, 0.5]; clamped to %.2f", raw, rate
+                F.concat(
+                    F.lit("effective tax rate "), fixed(raw, 2), F.lit(" outside [0, 0.5]; clamped to "), fixed(rate, 2)
                 ),
             ),
         ],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallystone import schemas
 from tallystone.functions.columns import slug
+from tallystone.functions.number_text import percent
 from tallystone.functions.text import strip
 
 DISCLAIMER = (
@@ -209,11 +210,10 @@ def markdown_lines(
         "",
         F.when(
             F.col("dropped") > 0,
-            F.format_string(
-                "- %d finding(s) dropped: the quote was not found in the cited filing "
-                "(fabrication rate %d%%).",
-                F.col("dropped"),
-                F.bround(rate * 100).cast("long"),  # ties go to the even number
+            F.concat(
+                F.lit("- "), F.col("dropped").cast("string"),
+                F.lit(" finding(s) dropped: the quote was not found in the cited filing (fabrication rate "),
+                percent(rate), F.lit(")."),
             ),
         ),
     )

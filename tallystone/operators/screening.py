@@ -18,6 +18,7 @@ from tallystone.functions.columns import (
     is_finite,
     is_underfollowed,
 )
+from tallystone.functions.number_text import fixed, percent
 from tallystone.operators.ranking import group_percentiles, match_keys
 
 EXCLUDE, PASS, INSUFFICIENT = "exclude", "pass", "insufficient_data"
@@ -50,12 +51,12 @@ def check_dilution() -> Column:
         (
             m["value"] > V.DILUTION_LIMIT,
             EXCLUDE,
-            F.format_string("shares grew %.0f%% YoY — dilution", m["value"] * 100),
+            F.concat(F.lit("shares grew "), percent(m["value"]), F.lit(" YoY — dilution")),
         ),
         (
             ALWAYS(True),
             PASS,
-            F.format_string("share growth %.0f%% YoY within limit", m["value"] * 100),
+            F.concat(F.lit("share growth "), percent(m["value"]), F.lit(" YoY within limit")),
         ),
     )
 
@@ -69,10 +70,9 @@ def check_cash_runway() -> Column:
         (
             is_finite(m["value"]) & (m["value"] < V.MIN_RUNWAY_MONTHS),
             EXCLUDE,
-            F.format_string(
-                "cash runway %.1f months — near-term insolvency risk; "
-                "note the going-concern OPINION itself was not verified",
-                m["value"],
+            F.concat(
+                F.lit("cash runway "), fixed(m["value"], 1),
+                F.lit(" months — near-term insolvency risk; note the going-concern OPINION itself was not verified"),
             ),
         ),
         (ALWAYS(True), PASS, "cash runway of a year or more"),
