@@ -13,7 +13,6 @@ by row. An empty table gives no pieces. Other columns are left out.
 from __future__ import annotations
 
 import os
-import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,15 +33,19 @@ LENGTH = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 # Characters of words kept with their ids in a worker; the table starts afresh when full.
-MEMO_CHARS = 3_000_000
-MARKS = string.punctuation
+MEMO_CHARS = 8_000_000
+# Characters of texts whose words are looked up together.
+CHUNK_CHARS = 6_000_000
+# A letter, then marks up to the end of the word: tokens end between them.
+CLOSING = r"(\pL)([!-/:-@\[-`{-~]+)( |$)"
 
 
 class Encoder:
     """Ids of whole texts as bytes, 16 bits each.
 
     No token crosses a blank or a line break, nor runs from letters into a closing mark, and letters
-    count without case, so the ids of words are kept and put together.
+    count without case, so the ids of words are kept and put together. Texts are split into words by
+    the chunk; a word is looked up once a chunk, and its ids are copied to all its places at once.
     """
 
     def __init__(self, path: str, memo_chars: int = MEMO_CHARS):
@@ -58,44 +62,58 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without the end id."""
-        if self.held > self.memo_chars:
-            self.memo, self.held = {}, 0
-        memo = self.memo
-        pieces: list[list[str] | None] = []
-        fresh: set[str] = set()
-        for text in texts:
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts: list[str] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for i, ids in zip(owners, self.words(parts)):
+                out[i].append(ids)
+            parts.clear()
+            owners.clear()
+            size = 0
+
+        for i, text in enumerate(texts):
             plain = (text or "").lower() if (text or "").isascii() else text
-            if any(s in plain for s in self.special):
-                pieces.append(None)  # special tokens count before letters lose their case
+            if any(s in plain for s in self.special):  # special tokens count before letters lose their case
+                out[i].append(self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
                 continue
-            parts = plain.replace("\n", " ").split(" ") if plain else []
-            pieces.append(parts)
-            fresh.update(set(parts).difference(memo))
-        self.learn(fresh)
-        join, get = b"".join, memo.__getitem__
-        return [
-            self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids) if parts is None else join(map(get, parts))
-            for text, parts in zip(texts, pieces)
-        ]
-
-    def learn(self, fresh: set[str]) -> None:
-        memo = self.memo
-        marked = []  # letters and closing marks: (word, letters, marks)
-        wanted = set()
-        for w in fresh:
-            letters = w.rstrip(MARKS)
-            if letters and letters != w and letters.isalpha():
-                marked.append((w, letters, w[len(letters) :]))
-                wanted.add(letters)
-                wanted.add(w[len(letters) :])
-            else:
-                wanted.add(w)
-        new = list(wanted.difference(memo))
-        self.held += sum(map(len, new)) + sum(map(len, fresh))
-        self.learn_letters([w for w in new if w.isalpha()])
-        self.learn_each([w for w in new if not w.isalpha()])
-        for w, letters, marks in marked:
-            memo[w] = memo[letters] + memo[marks]
+            for part in cut_at_blanks(plain.replace("\n", " "), CHUNK_CHARS):
+                parts.append(part)
+                owners.append(i)
+                size += len(part)
+                if size >= CHUNK_CHARS:
+                    flush()
+        if parts:
+            flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def words(self, parts: list[str]) -> list[bytes]:
+        """Ids of texts whose words stand between blanks."""
+        if self.held > self.memo_chars:
+            self.memo, self.held = {}, 0
+        split = pc.split_pattern(pc.replace_substring_regex(pa.array(parts, pa.large_string()), CLOSING, r"\1 \2\3"), " ")
+        coded = pc.dictionary_encode(split.flatten())
+        known = coded.dictionary.to_pylist()
+        self.learn([w for w in known if w not in self.memo])
+        ids = [self.memo[w] for w in known]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        starts = np.cumsum(lengths) - lengths
+        at = np.asarray(coded.indices)
+        sizes = lengths[at]
+        ends = np.cumsum(sizes)
+        # Place in the joined ids of known words: the word's start, then one further each time.
+        places = np.repeat(starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        whole = np.frombuffer(b"".join(ids), "<u2")[places].tobytes()
+        borders = 2 * np.concatenate([[0], ends])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return [whole[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+    def learn(self, fresh: list[str]) -> None:
+        self.held += sum(map(len, fresh))
+        self.learn_letters([w for w in fresh if w.isalpha()])
+        self.learn_each([w for w in fresh if not w.isalpha()])
 
     def learn_letters(self, words: list[str]) -> None:
         """Many words in one call; each ends with the only token of it that ends a word."""
@@ -120,6 +138,18 @@ class Encoder:
         return array("H", ids).tobytes()
 
 
+def cut_at_blanks(text: str, most: int) -> Iterator[str]:
+    """Parts of about `most` characters, cut at blanks, which are left out; a longer word stays whole."""
+    start = 0
+    while len(text) - start > most:
+        stop = text.find(" ", start + most)
+        if stop < 0:
+            break
+        yield text[start:stop]
+        start = stop + 1
+    yield text[start:]
+
+
 ENCODERS: dict[str, Encoder] = {}
 
 
@@ -142,8 +172,8 @@ def tokenize(
         part, seen = TaskContext.get().partitionId(), 0
         end = encoder.packed([END_ID])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
                 ids = [x + end for x in encoder.batch(rows.column(1).to_pylist())]
                 sizes = [len(x) // 2 for x in ids]
                 starts = seen + np.cumsum([0, *sizes[:-1]])
