@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallystone import vocabulary as V
+from tallystone.functions.number_text import bind
 
 # Unicode white space plus the separators that only some regex engines count.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -103,62 +107,118 @@ def anonymize(text: Column, targets: Column) -> Column:
 
 
 # ------------------------------------------------------------------ excerpts
-def red_flag_windows(text: Column, pattern: str) -> Column:
-    """ARRAY<STRUCT<start, finish>> of at most four windows around a pattern's matches.
+# Words of the red-flag patterns in lower case: every match of a category holds one of its stems.
+RED_FLAG_STEMS = {
+    "going_concern": ("going concern", "substantial doubt", "ability to continue"),
+    "toxic_convertible": ("convertible", "conversion price", "variable conversion", "lowest", "look-back", "lookback", "discount to market"),
+    "reverse_split": ("reverse s", "share consolidation"),
+    "related_party": ("related part", "affiliate transaction", "officer loan", "due to officer", "due to director"),
+    "dilution": (
+        "dilut", "at-the-market", "equity line", "atm offering", "atm program", "share issued", "shares issued",
+        "to be issued", "registered direct", "standby equity",
+    ),
+    "default": ("in default", "event of default", "forbearance", "cross-default"),
+    "auditor": ("certifying accountant", "dismissed", "resignation of", "material weakness"),
+    "litigation": ("material proceeding", "material legal proceeding", "sec investigation", "sec subpoena", "class action"),
+}
+# Letters that a pattern without case takes for an ASCII letter, beside its capital.
+ALIKE = (("\u017f", "s"), ("\u212a", "k"), ("\u0130", "i"), ("\u0131", "i"))
+WINDOWS = "array<struct<start:int,finish:int>>"
+
+
+def red_flag_categories() -> Column:
+    """The categories as one small array, so that a plan holds the search once and not once a category."""
+    return F.array(
+        *[
+            F.struct(F.lit(c).alias("category"), F.lit("(?iud)" + p).alias("regex"), F.array(*map(F.lit, RED_FLAG_STEMS[c])).alias("stems"))
+            for c, p in V.RED_FLAG_PATTERNS
+        ]
+    )
 
-    Match positions come from the pieces between matches. One pass over the matches keeps a
-    running position and the windows accepted so far, so state stays at four windows.
+
+def red_flags_present(text: Column) -> Column:
+    """The categories of which the text may hold a match.
+
+    One lower-cased copy is searched for plain stems, many times faster than patterns without case.
     """
-    regex = "(?iud)" + pattern
-    # One more piece than matches: the last pair has no match and changes nothing.
-    pairs = F.zip_with(
-        F.split(text, regex, -1),
-        F.regexp_extract_all(text, F.lit(regex), F.lit(0)),
-        lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("size")),
+    alike = text
+    for letter, plain in ALIKE:
+        alike = F.replace(alike, F.lit(letter), F.lit(plain))
+    return bind(
+        F.lower(alike),
+        lambda low: F.filter(red_flag_categories(), lambda c: F.exists(c["stems"], lambda s: F.contains(low, s))),
     )
-    start_state = F.struct(
-        F.lit(0).alias("position"),
-        F.array().cast("array<struct<start:int,finish:int>>").alias("windows"),
+
+
+def red_flag_windows(text: Column, regex: Column) -> Column:
+    """ARRAY<STRUCT<start, finish>> of at most four windows around a pattern's matches.
+
+    One search puts marks around the matches; the pieces between marks give their places. A running
+    position and the windows accepted so far are all that is kept. A text that holds such a mark
+    itself is searched twice, for the pieces and for the matches.
+    """
+    opened, closed = "\ue0a0", "\ue0a1"
+    gap_and_size = lambda p, h: F.struct(F.length(p).alias("gap"), F.length(h).alias("size"))
+    # Each piece but the first: a match, the closing mark, the text up to the next match.
+    marked = F.split(F.regexp_replace(text, regex, F.lit(f"{opened}$0{closed}")), opened, -1)
+    once = bind(
+        F.transform(marked, lambda p: F.struct(F.length(p).alias("length"), (F.locate(closed, p) - 1).alias("size"))),
+        lambda pieces: F.transform(
+            pieces,
+            lambda p, i: F.struct(
+                # The text before this piece's match is what the piece before holds after its own.
+                F.when(i == 0, 0).when(i == 1, F.get(pieces, F.lit(0))["length"]).otherwise(
+                    F.get(pieces, i - 1)["length"] - F.get(pieces, i - 1)["size"] - 1
+                ).alias("gap"),
+                F.when(i > 0, p["size"]).alias("size"),
+            ),
+        ),
     )
+    # One more piece than matches: the last pair has no match and changes nothing.
+    twice = F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0)), gap_and_size)
+    pairs = F.when(F.contains(text, F.lit(opened)) | F.contains(text, F.lit(closed)), twice).otherwise(once)
+    start_state = F.struct(F.lit(0).alias("position"), F.array().cast(WINDOWS).alias("windows"))
+    length = F.length(text)
 
     def step(acc: Column, m: Column) -> Column:
         begin = acc["position"] + m["gap"]
         start = F.greatest(begin - V.EXCERPT_BEFORE, F.lit(0))
-        real = m["size"].isNotNull()
-        free = real & (F.size(acc["windows"]) < V.EXCERPTS_PER_CATEGORY) & ~F.exists(
-            acc["windows"], lambda w: F.abs(w["start"] - start) < V.EXCERPT_SPACING
-        )
-        finish = F.least(F.length(text), begin + m["size"] + V.EXCERPT_AFTER)
-        added = F.array_append(
-            acc["windows"], F.struct(start.alias("start"), finish.alias("finish"))
+        free = (
+            m["size"].isNotNull()
+            & (F.size(acc["windows"]) < V.EXCERPTS_PER_CATEGORY)
+            & ~F.exists(acc["windows"], lambda w: F.abs(w["start"] - start) < V.EXCERPT_SPACING)
         )
+        finish = begin + m["size"] + V.EXCERPT_AFTER
+        added = F.array_append(acc["windows"], F.struct(start.alias("start"), finish.alias("finish")))
         return F.struct(
             (begin + F.coalesce(m["size"], F.lit(0))).alias("position"),
             F.when(free, added).otherwise(acc["windows"]).alias("windows"),
         )
 
-    windows = F.aggregate(pairs, start_state, step, lambda acc: acc["windows"])
-    # Most filings lack most categories; for them one search is all that runs.
-    return F.when(text.rlike(regex), windows).otherwise(
-        F.array().cast("array<struct<start:int,finish:int>>")
-    )
+    found = F.aggregate(pairs, start_state, step, lambda acc: acc["windows"])
+    return F.transform(found, lambda w: F.struct(w["start"].alias("start"), F.least(w["finish"], length).alias("finish")))
 
 
 def excerpts(text: Column) -> Column:
-    """ARRAY<STRUCT<category, char_start, text>>, at most 32 per filing."""
+    """ARRAY<STRUCT<category, char_start, text>>, at most 32 per filing.
+
+    Most filings lack most categories; for them no pattern is searched.
+    """
 
-    def passages(category: str, pattern: str) -> Column:
+    def passages(text: Column, c: Column) -> Column:
         return F.transform(
-            red_flag_windows(text, pattern),
+            red_flag_windows(text, c["regex"]),
             lambda w: F.struct(
-                F.lit(category).alias("category"),
+                c["category"].alias("category"),
                 w["start"].alias("char_start"),
                 strip(F.substring(text, w["start"] + 1, w["finish"] - w["start"])).alias("text"),
             ),
         )
 
-    per_category = [passages(category, pattern) for category, pattern in V.RED_FLAG_PATTERNS]
-    return F.flatten(F.array(*per_category))
+    return bind(
+        F.struct(text.alias("text"), red_flags_present(text).alias("present")),
+        lambda s: F.flatten(F.transform(s["present"], lambda c: passages(s["text"], c))),
+    )
 
 
 # ------------------------------------------------------------------ quotes
@@ -170,11 +230,15 @@ _MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
 
 def case_folded(text: Column) -> Column:
     """Full case folding: lower case, final sigma and the like, sharp s and ligatures spelled out."""
+
+    def spelled(lowered: Column) -> Column:
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _MORE.items()])
+        more = F.aggregate(pairs, lowered, lambda text, p: F.replace(text, p["c"], p["f"]))
+        return F.when(lowered.rlike("[" + "".join(_MORE) + "]"), more).otherwise(lowered)
+
     lowered = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
-    spelled = lowered
-    for c, f in _MORE.items():
-        spelled = F.replace(spelled, F.lit(c), F.lit(f))
-    return F.when(lowered.rlike("[" + "".join(_MORE) + "]"), spelled).otherwise(lowered)
+    # Texts of one-byte characters have none of the special cases.
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(bind(lowered, spelled))
 
 
 def fold(text: Column) -> Column:
@@ -186,12 +250,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def token_overlap(quote: Column, folded_text: Column) -> Column:
-    """Share of the quote's words, repeats counted, that occur anywhere in the text."""
-    wanted = words(case_folded(quote))
-    shared = F.array_intersect(wanted, words(folded_text))
-    found = F.size(F.filter(wanted, lambda w: F.array_contains(shared, w)))
-    return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))
+def token_overlap(quote: Column, tokens: Column) -> Column:
+    """Share of the quote's words, repeats counted, that are among the words of a folded text."""
+
+    def share(wanted: Column) -> Column:
+        shared = F.array_intersect(wanted, tokens)
+        found = F.size(F.filter(wanted, lambda w: F.array_contains(shared, w)))
+        return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(found / F.size(wanted))
+
+    return bind(words(case_folded(quote)), share)
 
 
 def observation(text: Column, limit: int = V.OBSERVATION_LIMIT) -> Column:

@@ -9,6 +9,7 @@ from tallystone import vocabulary as V
 from tallystone.functions import text as T
 from tallystone.functions.columns import significant
 from tallystone.functions.number_text import percent
+from tallystone.operators import containment as C
 from tallystone.session import materialize
 
 FINDING_KEY = ["entity_id", "finding_ordinal"]
@@ -50,51 +51,53 @@ def excerpt_rows(texts: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ quotes
-def quote_ladder(quote: Column, text: Column, folded: Column) -> Column:
-    """How a quote matches a text: exact, folded, overlapping, or NULL."""
-    return (
-        F.when(F.contains(text, quote), F.lit("exact match"))
-        .when(F.contains(folded, T.fold(quote)), F.lit("match after whitespace normalisation"))
-        .when(
-            T.token_overlap(quote, folded) >= V.OVERLAP_THRESHOLD,
-            F.lit("high token-overlap match"),
-        )
-    )
-
-
-def _folded(texts: DataFrame) -> DataFrame:
-    """Texts with their folded form, written once because two joins read them."""
-    return materialize(
-        texts.select("entity_id", "accession", "text", T.fold(F.col("text")).alias("folded")),
-        "texts",
+def folded_match(fq: Column, quote: Column, folded: Column, tokens: Column) -> Column:
+    """How a quote that a text doesn't hold word for word matches its folded form, or NULL."""
+    return F.when(F.contains(folded, fq), F.lit("match after whitespace normalisation")).when(
+        T.token_overlap(quote, tokens) >= V.OVERLAP_THRESHOLD, F.lit("high token-overlap match")
     )
 
 
 def verify_findings(findings: DataFrame, texts: DataFrame) -> DataFrame:
-    """Findings with verified and reason. ``texts`` holds the few newest filings per entity."""
-    folded = _folded(texts)
+    """Findings with verified and reason. ``texts`` holds the filings of each entity.
+
+    Word-for-word quotes are settled by one join with the cited filings. Only filings of the other
+    quotes are folded, once each, and split into words. A quote that cites an unknown filing meets
+    the entity's filings through ``containment``.
+    """
     asked = findings.withColumn("quote", T.strip(F.col("quoted_span")))
-    cited = folded.select(
-        "entity_id", F.col("accession").alias("source_accession"), "text", "folded"
-    )
-    joined = asked.join(cited, ["entity_id", "source_accession"], "left")
-    ladder = F.when(
-        (F.length("quote") >= V.MIN_QUOTE_CHARS) & F.col("text").isNotNull(),
-        quote_ladder(F.col("quote"), F.col("text"), F.col("folded")),
-    )
-    checked = materialize(
-        joined.withColumns({"has_text": F.col("text").isNotNull(), "match": ladder}).drop(
-            "text", "folded"
-        ),
-        "checked_quotes",
-    )
-    # Only quotes that cite an unknown filing are looked up in the entity's other filings.
-    stray = checked.where(~F.col("has_text") & (F.length("quote") >= V.MIN_QUOTE_CHARS))
-    elsewhere = (
-        stray.select(*FINDING_KEY, T.fold(F.col("quote")).alias("fq"))
-        .join(folded.select("entity_id", "folded"), "entity_id")
-        .groupBy(*FINDING_KEY)
-        .agg(F.bool_or(F.contains("folded", "fq")).alias("elsewhere"))
+    cited = texts.select("entity_id", F.col("accession").alias("source_accession"), "text")
+    long_enough = F.length("quote") >= V.MIN_QUOTE_CHARS
+    first = materialize(
+        asked.join(cited, ["entity_id", "source_accession"], "left").withColumns(
+            {"has_text": F.col("text").isNotNull(), "exact": long_enough & F.contains(F.col("text"), F.col("quote"))}
+        ).drop("text"),
+        "cited_quotes",
+    )
+    keyed = first.select(*FINDING_KEY, "source_accession", "has_text", "exact", "quote", T.fold(F.col("quote")).alias("fq"))
+    open_quotes = keyed.where(F.col("has_text") & ~F.col("exact") & long_enough)
+    stray = keyed.where(~F.col("has_text") & long_enough)
+    wanted = open_quotes.select("entity_id", F.col("source_accession").alias("accession")).unionByName(
+        texts.select("entity_id", "accession").join(stray.select("entity_id").distinct(), "entity_id", "left_semi")
+    )
+    folded = materialize(
+        C.with_tokens(texts.select("entity_id", "accession", "text").join(wanted.distinct(), ["entity_id", "accession"], "left_semi")).drop("text"),
+        "folded",
+    )
+    matched = open_quotes.join(folded.withColumnRenamed("accession", "source_accession"), ["entity_id", "source_accession"]).select(
+        *FINDING_KEY, folded_match(F.col("fq"), F.col("quote"), F.col("folded"), F.col("tokens")).alias("other"),
+    )
+    asked_of = stray.select(*FINDING_KEY, "fq")
+    pairs = C.candidates(asked_of, folded, ["entity_id"], ["finding_ordinal"], "accession")
+    held = (
+        pairs.join(asked_of, FINDING_KEY)
+        .join(folded.select("entity_id", "accession", "folded"), ["entity_id", "accession"])
+        .where(F.contains("folded", "fq"))
+        .select(*FINDING_KEY, F.lit(True).alias("elsewhere"))
+        .distinct()
+    )
+    checked = first.join(matched, FINDING_KEY, "left").join(held, FINDING_KEY, "left").withColumn(
+        "match", F.when(F.col("exact"), F.lit("exact match")).otherwise(F.col("other"))
     )
     shown = F.concat(F.lit("'"), "source_accession", F.lit("'"))
     reason = (
@@ -112,7 +115,7 @@ def verify_findings(findings: DataFrame, texts: DataFrame) -> DataFrame:
         )
         .otherwise(F.coalesce("match", F.lit("quote not found in cited filing")))
     )
-    return checked.join(elsewhere, FINDING_KEY, "left").select(
+    return checked.select(
         *findings.columns, F.col("match").isNotNull().alias("verified"), reason.alias("reason")
     )
 
@@ -180,26 +183,34 @@ def union_sources(filings: DataFrame, pages: DataFrame) -> DataFrame:
 def verify_brief_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
     """A quote counts when its cited source, or any other source of the run, holds it.
 
-    The cited source is tried first, by equality. Only quotes it does not hold meet the other
-    sources of their run, and a run fetches at most one source per step.
+    The cited source is tried first, by equality and word for word. Only quotes it does not hold meet
+    the sources of their run, through ``containment``; sources of runs without such quotes are not
+    folded.
     """
     keys = ["run_id", "finding_ordinal"]
-    folded = materialize(
-        sources.select("run_id", "source", "text", T.fold(F.col("text")).alias("folded")),
+    asked = findings.withColumn("quote", T.strip(F.col("quoted_span")))
+    long_enough = F.length("quote") >= V.MIN_QUOTE_CHARS
+    first = materialize(
+        asked.join(sources.select("run_id", "source", "text"), ["run_id", "source"], "left").withColumn(
+            "in_cited", F.coalesce(long_enough & F.contains(F.col("text"), F.col("quote")), F.lit(False))
+        ).select(*findings.columns, "quote", "in_cited"),
+        "cited",
+    )
+    open_quotes = first.where(~F.col("in_cited") & long_enough).select(*keys, "quote", T.fold(F.col("quote")).alias("fq"))
+    texts = materialize(
+        C.with_tokens(sources.select("run_id", "source", "text").join(open_quotes.select("run_id").distinct(), "run_id", "left_semi")),
         "sources",
     )
-    ladder = quote_ladder(F.col("quote"), F.col("text"), F.col("folded"))
-    long_enough = F.length("quote") >= V.MIN_QUOTE_CHARS
-    asked = findings.withColumn("quote", T.strip(F.col("quoted_span")))
-    in_cited = asked.join(folded, ["run_id", "source"], "left").withColumn(
-        "in_cited", F.coalesce(long_enough & ladder.isNotNull(), F.lit(False))
+    pairs = C.candidates(
+        open_quotes, texts, ["run_id"], ["finding_ordinal"], "source", missing_share=1 - V.OVERLAP_THRESHOLD
     )
-    first = materialize(in_cited.select(*findings.columns, "quote", "in_cited"), "cited")
+    match = F.contains(F.col("text"), F.col("quote")) | folded_match(
+        F.col("fq"), F.col("quote"), F.col("folded"), F.col("tokens")
+    ).isNotNull()
     elsewhere = (
-        first.where(~F.col("in_cited") & long_enough)
-        .select(*keys, "quote")
-        .join(folded.drop("source"), "run_id")
-        .where(ladder.isNotNull())
+        pairs.join(open_quotes, keys)
+        .join(texts, ["run_id", "source"])
+        .where(match)
         .select(*keys, F.lit(True).alias("elsewhere"))
         .distinct()
     )

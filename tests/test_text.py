@@ -37,6 +37,36 @@ def test_excerpts_match_brute_force(spark):
         assert [(x.category, x.char_start, x.text) for x in r.e] == brute_excerpts(texts[r.i])
 
 
+def test_excerpts_with_alike_letters_marks_and_many_matches(spark):
+    texts = [
+        "\u017fub\u017ftantial doubt. loo\u212a-bac\u212a. " * 3,
+        "marks \ue0a0 of \ue0a1 the text, then dilution " + "\ue0a1" * 300 + " shares issued " + "w" * 900 + " dilutive",
+        "related parties " * 4000,
+        "a DILUTION of dilution" + "x" * 880 + "dilution " + "equity line" * 2,
+        "dismissed without anyone. lowest of all.",
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", T.excerpts(F.col("t")).alias("e")).collect():
+        got = None if r.e is None else [(x.category, x.char_start, x.text) for x in r.e]
+        assert (got or []) == brute_excerpts(texts[r.i] or ""), r.i
+
+
+def test_every_match_of_a_pattern_holds_a_stem():
+    samples = {c: re.sub(r"\.\{0,\d+\}", " any text ", p.replace("'?", "'")) for c, p in V.RED_FLAG_PATTERNS}
+    for category, pattern in samples.items():
+        for branch in re.split(r"\|(?![^(]*\))", pattern):
+            options = [""]
+            for piece in re.findall(r"\([^)]*\)\??|.\??", branch):
+                optional = piece.endswith("?")
+                inner = piece.rstrip("?")
+                words = inner[1:-1].split("|") if inner.startswith("(") else [inner]
+                options = [o + w for o in options for w in words + [""] * optional]
+            for text in options:
+                assert re.search(dict(V.RED_FLAG_PATTERNS)[category], text, re.I), (category, text)
+                assert any(s in text.lower() for s in T.RED_FLAG_STEMS[category]), (category, text)
+
+
 def test_anonymize_whole_words_longest_first(spark):
     df = spark.createDataFrame(
         [("CONC warns of going concern. Conc Corp (CONC) says conc corp.", "Conc Corp", ["CONC", "ZZ"])],
