@@ -15,8 +15,17 @@ from tallystone.functions.number_text import bind
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+# Runs of white space other than a single blank; without (?U) for texts of one-byte characters.
+RUNS = r" *[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| {2,}"
+
+
+def one_byte(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    run = F.when(one_byte(text), F.regexp_replace(text, RUNS, " ")).otherwise(F.regexp_replace(text, "(?U)" + RUNS, " "))
+    return F.trim(run)
 
 
 def strip(text: Column) -> Column:
@@ -226,28 +235,29 @@ def excerpts(text: Column) -> Column:
 _FOLDED = {c: c.casefold() for c in map(chr, range(0x110000)) if c == c.lower() != c.casefold()}
 _ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
 _MORE = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+_PAIRS = "array(" + ", ".join(f"named_struct('c', '{c}', 'f', '{f}')" for c, f in _MORE.items()) + ")"
 
 
 def case_folded(text: Column) -> Column:
     """Full case folding: lower case, final sigma and the like, sharp s and ligatures spelled out."""
 
     def spelled(lowered: Column) -> Column:
-        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in _MORE.items()])
-        more = F.aggregate(pairs, lowered, lambda text, p: F.replace(text, p["c"], p["f"]))
+        more = F.aggregate(F.expr(_PAIRS), lowered, lambda text, p: F.replace(text, p["c"], p["f"]))
         return F.when(lowered.rlike("[" + "".join(_MORE) + "]"), more).otherwise(lowered)
 
     lowered = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
     # Texts of one-byte characters have none of the special cases.
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(bind(lowered, spelled))
+    return F.when(one_byte(text), F.lower(text)).otherwise(bind(lowered, spelled))
 
 
 def fold(text: Column) -> Column:
     """White space and case folded."""
-    return case_folded(squeeze(text))
+    return bind(squeeze(text), case_folded)
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(one_byte(text), found(r"\w+")).otherwise(found(r"(?U)\w+"))
 
 
 def token_overlap(quote: Column, tokens: Column) -> Column:

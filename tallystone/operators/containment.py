@@ -20,12 +20,6 @@ from tallystone.session import materialize
 PAIRS = 4_096
 
 
-def with_tokens(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Texts with their folded form and its distinct words, made once a text."""
-    folded = texts.withColumn("folded", T.fold(F.col(text_col)))
-    return folded.withColumn("tokens", F.array_distinct(T.words(F.col("folded"))))
-
-
 def _crowded(quotes: DataFrame, texts: DataFrame, scope: list[str], pairs: int) -> DataFrame:
     """Scopes of more pairs than that."""
     n_quotes = quotes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_quotes"))
@@ -39,12 +33,14 @@ def candidates(
 ) -> DataFrame:
     """Rows (scope, ids, source): pairs outside of which no text holds its quote.
 
-    ``quotes``: scope, ids, fq (folded). ``texts``: scope, source, tokens; both stored tables.
+    ``quotes``: scope, ids, fq (folded). ``texts``: scope, source, folded; both stored tables.
     ``missing_share``: share of a quote's words that a text may lack, if an overlap counts.
     """
     crowded = materialize(_crowded(quotes, texts, scope, pairs), "crowded")
     plain = quotes.join(crowded, scope, "left_anti").select(*scope, *ids)
     near = texts.select(*scope, source)
+    if crowded.isEmpty():
+        return plain.join(near, scope)
     worded = quotes.join(crowded, scope, "left_semi").withColumn("words", T.words(F.col("fq")))
     short = worded.where(F.size("words") <= 2).select(*scope, *ids)
     return (
@@ -62,7 +58,7 @@ def _by_rare_words(
     wanted = placed.groupBy(*scope, *ids, "n", "token").agg(F.count(F.lit(1)).alias("times"), F.bool_or(inside).alias("inside"))
     tokens = wanted.select(*scope, "token").distinct()
     postings = materialize(
-        texts.select(*scope, source, F.explode("tokens").alias("token")).join(tokens, [*scope, "token"], "left_semi"), "postings"
+        texts.select(*scope, source, F.explode(F.array_distinct(T.words(F.col("folded")))).alias("token")).join(tokens, [*scope, "token"], "left_semi"), "postings"
     )
     rarity = postings.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("n_texts"))
     ranked = wanted.join(rarity, [*scope, "token"], "left").withColumn("n_texts", F.coalesce("n_texts", F.lit(0)))

@@ -51,6 +51,13 @@ def excerpt_rows(texts: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ quotes
+def folded_texts(texts: DataFrame) -> DataFrame:
+    """Texts with their folded form, stored once; ``tokens``, its distinct words, where ``split`` asks for them."""
+    folded = texts.withColumn("folded", T.fold(F.col("text")))
+    tokens = F.when(F.col("split"), F.array_distinct(T.words(F.col("folded"))))
+    return materialize(folded.withColumn("tokens", tokens).drop("split"), "folded")
+
+
 def folded_match(fq: Column, quote: Column, folded: Column, tokens: Column) -> Column:
     """How a quote that a text doesn't hold word for word matches its folded form, or NULL."""
     return F.when(F.contains(folded, fq), F.lit("match after whitespace normalisation")).when(
@@ -77,13 +84,15 @@ def verify_findings(findings: DataFrame, texts: DataFrame) -> DataFrame:
     keyed = first.select(*FINDING_KEY, "source_accession", "has_text", "exact", "quote", T.fold(F.col("quote")).alias("fq"))
     open_quotes = keyed.where(F.col("has_text") & ~F.col("exact") & long_enough)
     stray = keyed.where(~F.col("has_text") & long_enough)
-    wanted = open_quotes.select("entity_id", F.col("source_accession").alias("accession")).unionByName(
-        texts.select("entity_id", "accession").join(stray.select("entity_id").distinct(), "entity_id", "left_semi")
-    )
-    folded = materialize(
-        C.with_tokens(texts.select("entity_id", "accession", "text").join(wanted.distinct(), ["entity_id", "accession"], "left_semi")).drop("text"),
-        "folded",
-    )
+    # Filings cited by open quotes are split into words too; those of companies with stray quotes are folded.
+    split = open_quotes.select("entity_id", F.col("source_accession").alias("accession")).distinct().withColumn("split", F.lit(True))
+    astray = stray.select("entity_id").distinct().withColumn("astray", F.lit(True))
+    wanted = (
+        texts.select("entity_id", "accession", "text")
+        .join(split, ["entity_id", "accession"], "left").join(astray, "entity_id", "left")
+        .where(F.col("split") | F.col("astray")).drop("astray")
+    )
+    folded = folded_texts(wanted).drop("text")
     matched = open_quotes.join(folded.withColumnRenamed("accession", "source_accession"), ["entity_id", "source_accession"]).select(
         *FINDING_KEY, folded_match(F.col("fq"), F.col("quote"), F.col("folded"), F.col("tokens")).alias("other"),
     )
@@ -197,10 +206,8 @@ def verify_brief_findings(findings: DataFrame, sources: DataFrame) -> DataFrame:
         "cited",
     )
     open_quotes = first.where(~F.col("in_cited") & long_enough).select(*keys, "quote", T.fold(F.col("quote")).alias("fq"))
-    texts = materialize(
-        C.with_tokens(sources.select("run_id", "source", "text").join(open_quotes.select("run_id").distinct(), "run_id", "left_semi")),
-        "sources",
-    )
+    met = sources.select("run_id", "source", "text").join(open_quotes.select("run_id").distinct(), "run_id", "left_semi")
+    texts = folded_texts(met.withColumn("split", F.lit(True)))
     pairs = C.candidates(
         open_quotes, texts, ["run_id"], ["finding_ordinal"], "source", missing_share=1 - V.OVERLAP_THRESHOLD
     )
@@ -282,17 +289,19 @@ def metrics_block(metrics: DataFrame) -> DataFrame:
         F.lit("Period: "), F.col("period_end").cast("string"), F.lit(" ("), q("fiscal_period"),
         F.lit("), currency "), q("currency"),
     )
-    lines = [
-        F.when(
-            F.col(n)["ok"] & F.col(n)["value"].isNotNull(),
-            F.concat(
-                F.lit(f"  {n} = "), significant(F.col(n)["value"]), F.lit(" ["),
-                F.col(n)["basis"], F.lit("]"),
-            ),
-        )
-        for n in V.REPORT_METRICS
-    ]
-    body = F.array_compact(F.array(*lines))
+    # One array of the metrics, so that a plan holds the number format once.
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(f"  {n} = ").alias("label"), F.col(n)["value"].alias("value"),
+                F.col(n)["basis"].alias("basis"), F.col(n)["ok"].alias("ok"),
+            )
+            for n in V.REPORT_METRICS
+        ]
+    )
+    shown = F.filter(rows, lambda m: m["ok"] & m["value"].isNotNull())
+    line = lambda m: F.concat(m["label"], significant(m["value"]), F.lit(" ["), m["basis"], F.lit("]"))
+    body = F.array_compact(F.transform(shown, line))
     return metrics.select(
         "entity_id",
         F.concat_ws(

@@ -6,11 +6,12 @@ Findings and excerpts of a company have no bound, so a prompt stays a table of l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.operators.ranking import with_rank
 from tallystone.operators.reports import line_rows
+from tallystone.session import materialize
 
 # Texts of the prompt bodies.
 ANONYMISED = (
@@ -38,39 +39,79 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def analyst_lines(blocks: DataFrame, verified: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """The evidence body that bull and bear share.
+def _lines(rows: DataFrame, *lines: tuple[int, int, Column | int, int, Column]) -> DataFrame:
+    """Lines of several sections from one reading of the rows; each is (section, part, position, line_no, text).
 
-    ``blocks``: entity_id, metrics_block. ``verified``: findings with verified. ``excerpts``:
-    entity_id, position, accession, category, text.
+    A NULL text is no line.
     """
+    made = [
+        F.when(
+            text.isNotNull(),
+            F.struct(
+                F.lit(section).alias("section"),
+                F.lit(part).alias("part"),
+                (F.lit(position) if isinstance(position, int) else position).cast("long").alias("position"),
+                F.lit(line_no).alias("line_no"),
+                text.alias("line"),
+            ),
+        )
+        for section, part, position, line_no, text in lines
+    ]
+    return rows.select("entity_id", F.inline(F.array_compact(F.array(*made))))
+
+
+def _found(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("entity_id").distinct().withColumn(name, F.lit(True))
+
+
+def _evidence_lines(blocks: DataFrame, verified: DataFrame, excerpts: DataFrame, *more: tuple) -> DataFrame:
+    """The evidence body and more lines an entity. Findings and excerpts are stored once, as they are long."""
     entities = blocks.select("entity_id")
-    kept = verified.where("verified").join(entities, "entity_id", "left_semi")
+    findings = verified.where("verified").select(
+        "entity_id", "finding_ordinal", "category", "severity", "claim", "source_accession", "quoted_span"
+    )
+    kept = materialize(findings.join(entities, "entity_id", "left_semi"), "kept_findings")
+    passages = materialize(excerpts.join(entities, "entity_id", "left_semi"), "passages")
     numbered = with_rank(kept, ["entity_id"], [F.col("finding_ordinal")], "i")
-    passages = excerpts.join(entities, "entity_id", "left_semi")
     finding = F.concat(
         F.lit("  "), F.col("i").cast("string"), F.lit(". ["), "category", F.lit(" / "), "severity", F.lit("] "), "claim"
     )
     quote = F.concat(F.lit("     quote ("), "source_accession", F.lit('): "'), "quoted_span", F.lit('"'))
     passage = F.concat(F.lit("  ["), "accession", F.lit(" / "), "category", F.lit("] "), "text")
+    heads = blocks.join(_found(kept, "has_kept"), "entity_id", "left").join(_found(passages, "has_passages"), "entity_id", "left")
+    of_excerpts = lambda text: F.when(F.col("has_passages"), F.lit(text))
     return _union([
-        line_rows(blocks, 0, 0, None, ANONYMISED, "", METRICS, F.col("metrics_block"), ""),
-        line_rows(entities.join(kept, "entity_id", "left_semi"), 1, 0, None, FINDINGS),
-        line_rows(entities.join(kept, "entity_id", "left_anti"), 1, 0, None, NO_FINDINGS),
-        line_rows(numbered, 1, 1, F.col("i"), finding, quote),
-        line_rows(entities.join(passages, "entity_id", "left_semi"), 2, 0, None, "", EXCERPTS),
-        line_rows(passages, 2, 1, F.col("position"), passage),
+        _lines(
+            heads,
+            (0, 0, 0, 0, F.lit(ANONYMISED)), (0, 0, 0, 1, F.lit("")), (0, 0, 0, 2, F.lit(METRICS)),
+            (0, 0, 0, 3, F.col("metrics_block")), (0, 0, 0, 4, F.lit("")),
+            (1, 0, 0, 0, F.when(F.col("has_kept"), F.lit(FINDINGS)).otherwise(F.lit(NO_FINDINGS))),
+            (2, 0, 0, 0, of_excerpts("")), (2, 0, 0, 1, of_excerpts(EXCERPTS)),
+            *more,
+        ),
+        _lines(numbered, (1, 1, F.col("i"), 0, finding), (1, 1, F.col("i"), 1, quote)),
+        _lines(passages, (2, 1, F.col("position"), 0, passage)),
     ])
 
 
+def analyst_lines(blocks: DataFrame, verified: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """The evidence body that bull and bear share.
+
+    ``blocks``: entity_id, metrics_block. ``verified``: findings with verified. ``excerpts``:
+    entity_id, position, accession, category, text.
+    """
+    return _evidence_lines(blocks, verified, excerpts)
+
+
 def skeptic_lines(blocks: DataFrame, verified: DataFrame, excerpts: DataFrame, points: DataFrame) -> DataFrame:
     """The evidence body and the bull's points, numbered, to refute."""
     bull = points.where("stance = 'bull'").join(blocks.select("entity_id"), "entity_id", "left_semi")
     point = F.concat(F.lit("  "), (F.col("position") + 1).cast("string"), F.lit(". "), "point")
     return _union([
-        analyst_lines(blocks, verified, excerpts),
-        line_rows(blocks, 3, 0, None, "", BULL_TO_REVIEW),
-        line_rows(bull, 3, 1, F.col("position"), point),
+        _evidence_lines(
+            blocks, verified, excerpts, (3, 0, 0, 0, F.lit("")), (3, 0, 0, 1, F.lit(BULL_TO_REVIEW))
+        ),
+        _lines(bull, (3, 1, F.col("position"), 0, point)),
     ])
 
 

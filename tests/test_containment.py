@@ -43,7 +43,7 @@ def test_brief_findings_match_brute_force(spark, pairs, monkeypatch):
     f = spark.createDataFrame(findings, "run_id string, finding_ordinal long, quoted_span string, source string")
     got = {r["finding_ordinal"]: r["verified"] for r in EV.verify_brief_findings(f, s).collect()}
     pairs_of = s.join(f.drop("source"), "run_id").select("finding_ordinal", "run_id", "source", "text", T.strip(F.col("quoted_span")).alias("q"))
-    folded = C.with_tokens(pairs_of).withColumn("hit", (F.length("q") >= 12) & (
+    folded = EV.folded_texts(pairs_of.withColumn("split", F.lit(True))).withColumn("hit", (F.length("q") >= 12) & (
         F.contains("text", "q") | EV.folded_match(T.fold(F.col("q")), F.col("q"), F.col("folded"), F.col("tokens")).isNotNull()))
     want = {r["finding_ordinal"]: bool(r["hit"]) for r in folded.groupBy("finding_ordinal").agg(F.bool_or("hit").alias("hit")).collect()}
     assert got == want and 20 < sum(want.values()) < 110
@@ -65,5 +65,5 @@ def test_a_company_of_ten_thousand_filings(spark):
     assert len(got) == len(rows) - 1
     assert all(got[i].startswith("quote found but attributed") == (i < n) for i in got)
     stray = materialize(findings.where("entity_id = 'big'").select("entity_id", "finding_ordinal", T.fold(F.col("quoted_span")).alias("fq")), "stray")
-    folded = materialize(C.with_tokens(texts), "folded")
+    folded = EV.folded_texts(texts.withColumn("split", F.lit(False)))
     assert C.candidates(stray, folded, ["entity_id"], ["finding_ordinal"], "accession").count() < 4 * len(rows)

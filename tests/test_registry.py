@@ -15,7 +15,8 @@ SAMPLE = (
     "oim_facts", "archive_versions", "upsert_snapshots", "fx_convert_instant", "strategy_scores",
     "page_text", "call_cost_by_stage", "reasoning_split", "response_json", "report_tree",
     "stream_archive", "stream_run_index", "stream_report_changes", "manifest_payloads", "report_markdown",
-    "brief_markdown", "memo_prompts", "step_digest", "verify_findings", "canonical_facts",
+    "brief_markdown", "memo_prompts", "fabrication_rate", "replace_raw_facts", "upsert_facts", "stream_ingest",
+     "step_digest", "verify_findings", "canonical_facts",
 )
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are absent")
 
@@ -48,7 +49,7 @@ def test_query_equals_sql(spark, name):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["analyst_prompts_excerpts", "skeptic_prompts_excerpts"])
+@pytest.mark.parametrize("name", ["analyst_prompts", "skeptic_prompts"])
 def test_prompts_hold_the_excerpts_of_all_filings(spark, name):
     test_query_equals_sql(spark, name)
     lines = entry.queries()[name](spark, SMALL).where("section = 2 and part = 1").collect()

@@ -17,11 +17,6 @@ from workload.views import VIEWS, oracle, view
 Q: dict = {}
 SQL: dict[str, str] = {}
 
-VIEWS["v_passages"] = """
-SELECT entity_id, doc_id AS position, accession, 'dilution' AS category, substr(text, 1, 90) AS text FROM {v_filings} WHERE doc_id % 3 = 0
-"""
-
-
 def _parts(spark, sf_dir):
     return EV.metrics_block(report(spark, sf_dir)), _verified(spark, sf_dir)
 
@@ -30,14 +25,20 @@ def _out(lines):
     return lines.select("entity_id", "section", "part", "position", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-def analyst_prompts(spark, sf_dir):
+def _evidence(spark, sf_dir):
+    """Blocks, findings and, as passages, the excerpts of all filings by accession and place."""
     blocks, verified = _parts(spark, sf_dir)
-    return _out(P.analyst_lines(blocks, verified, view(spark, sf_dir, "v_passages")))
+    found = materialize(red_flag_excerpts(spark, sf_dir), "excerpts")
+    passages = with_rank(found, ["entity_id"], [F.col("accession"), F.col("n")], "position")
+    return materialize(blocks, "blocks"), verified, passages
+
+
+def analyst_prompts(spark, sf_dir):
+    return _out(P.analyst_lines(*_evidence(spark, sf_dir)))
 
 
 def skeptic_prompts(spark, sf_dir):
-    blocks, verified = _parts(spark, sf_dir)
-    return _out(P.skeptic_lines(blocks, verified, view(spark, sf_dir, "v_passages"), view(spark, sf_dir, "v_points")))
+    return _out(P.skeptic_lines(*_evidence(spark, sf_dir), view(spark, sf_dir, "v_points")))
 
 
 def memo_prompts(spark, sf_dir):
@@ -50,37 +51,19 @@ def memo_prompts(spark, sf_dir):
     ))
 
 
-def _stored_parts(spark, sf_dir):
-    """Blocks, findings and, as passages, the excerpts of all filings by accession and place; each read several times."""
-    blocks, verified = _parts(spark, sf_dir)
-    found = materialize(red_flag_excerpts(spark, sf_dir), "excerpts")
-    passages = with_rank(found, ["entity_id"], [F.col("accession"), F.col("n")], "position")
-    return materialize(blocks, "blocks"), materialize(verified, "verified"), materialize(passages, "passages")
-
-
-def analyst_prompts_excerpts(spark, sf_dir):
-    return _out(P.analyst_lines(*_stored_parts(spark, sf_dir)))
-
-
-def skeptic_prompts_excerpts(spark, sf_dir):
-    return _out(P.skeptic_lines(*_stored_parts(spark, sf_dir), view(spark, sf_dir, "v_points")))
-
-
-Q["analyst_prompts_excerpts"] = analyst_prompts_excerpts
-Q["skeptic_prompts_excerpts"] = skeptic_prompts_excerpts
 Q["analyst_prompts"] = analyst_prompts
 Q["skeptic_prompts"] = skeptic_prompts
 Q["memo_prompts"] = memo_prompts
 
 # The views of both sides, then the template section by section.
 _ALL = oracle(
-    "SELECT * FROM {o_metrics} JOIN {o_latest} ON true JOIN {v_findings} ON true JOIN {v_filings} ON true JOIN {v_passages} ON true JOIN {v_points} ON true JOIN {v_skeptic} ON true JOIN {v_refuted} ON true"
+    "SELECT * FROM {o_metrics} JOIN {o_latest} ON true JOIN {v_findings} ON true JOIN {v_filings} ON true JOIN {v_points} ON true JOIN {v_skeptic} ON true JOIN {v_refuted} ON true"
 ).rsplit("\nSELECT * FROM o_metrics", 1)[0]
 _BLOCKS = TEXT_SQL["metric_blocks"][TEXT_SQL["metric_blocks"].rindex("g AS (SELECT entity_id, '  '"):]
 _HEAD = _ALL + ",\no_verified AS (" + _V.split("o_verified AS (", 1)[1] + f""",
 o_blocks AS (WITH {_BLOCKS}),
 o_kept AS (SELECT v.*, row_number() OVER (PARTITION BY v.entity_id ORDER BY finding_ordinal) AS i FROM o_verified v JOIN o_blocks USING (entity_id) WHERE verified),
-o_passages AS (SELECT p.* FROM v_passages p JOIN o_blocks USING (entity_id)),
+o_passages AS (SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY accession, n) AS position, accession, category, text FROM ({_numbered('v_filings')}) p JOIN o_blocks USING (entity_id)),
 o_points AS (SELECT p.* FROM v_points p JOIN o_blocks USING (entity_id)),
 o_skeptic AS (SELECT s.* FROM v_skeptic s JOIN o_blocks USING (entity_id)),
 o_refuted AS (SELECT r.* FROM v_refuted r JOIN o_blocks USING (entity_id)),
@@ -123,12 +106,6 @@ _MEMO = (
 )
 for _name, _template in (("analyst_prompts", _ANALYST), ("skeptic_prompts", _SKEPTIC), ("memo_prompts", _MEMO)):
     SQL[_name] = _HEAD + " UNION ALL ".join(_template) + _TAIL
-_EXCERPT_HEAD = _HEAD.replace(
-    "SELECT p.* FROM v_passages p JOIN o_blocks USING (entity_id)",
-    f"SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY accession, n) AS position, accession, category, text FROM ({_numbered('v_filings')}) p JOIN o_blocks USING (entity_id)",
-)
-for _name, _template in (("analyst_prompts_excerpts", _ANALYST), ("skeptic_prompts_excerpts", _SKEPTIC)):
-    SQL[_name] = _EXCERPT_HEAD + " UNION ALL ".join(_template) + _TAIL
 
 # ------------------------------------------------------------------ investigation briefs
 VIEWS["v_briefs"] = """
