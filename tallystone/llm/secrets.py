@@ -15,7 +15,8 @@ and scoring read that.
 Defined cases: null and empty texts have no spans. Repeated rows and ties are judged row by row.
 Without base spans the random model is the mixture's equal chances; without any token nothing is
 scored. An empty table gives no rows. Other columns are left out, except by `redact_documents`,
-which passes them through.
+which passes them through. Very long texts, texts of very many matches and very long tokens take
+work in proportion to their length: running places come from blocks, never from growing arrays.
 """
 
 from __future__ import annotations
@@ -43,25 +44,89 @@ UNIT = 10_000  # log ratios are whole numbers of this fraction, so that sums are
 # A token is random if its ratio is e^10 and each pair speaks for it by e^0.25 on average.
 MIN_TOTAL, MIN_EACH = 10 * UNIT, UNIT // 4
 MASK = "[SECRET]"
+BLOCK, FEW_SPANS = 256, 32
 PLACES = "array<struct<start:int,end:int,text:string>>"
 
 
+def bind(value: Column, then) -> Column:
+    """Evaluate once what a function of columns uses several times or inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """Sums, maxima or minima of the values up to each place.
+
+    Arrays grow only within blocks of BLOCK entries, so the work is linear in the text.
+    """
+
+    def along(block: Column) -> Column:
+        def grow(state: Column, v: Column) -> Column:
+            last = F.get(state, F.size(state) - 1)
+            return F.array_append(state, F.when(F.size(state) == 0, v).otherwise(combine(last, v)))
+
+        return F.aggregate(block, F.array().cast("array<int>"), grow)
+
+    def carried(inner: Column) -> Column:
+        ends = along(F.transform(inner, lambda b: F.element_at(b, -1)))
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(ends, 1, F.size(inner) - 1))
+        onward = lambda b, base: F.transform(b, lambda v: F.when(base.isNull(), v).otherwise(combine(base, v)))
+        return F.flatten(F.zip_with(inner, before, onward))
+
+    def blocks(x: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: b * BLOCK + 1)
+        return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(
+            bind(F.transform(starts, lambda b: along(F.slice(x, b, F.lit(BLOCK)))), carried)
+        )
+
+    return bind(values, blocks)
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def placed(text: Column, pattern: str) -> Column:
     """All matches with their places, from the matches and the pieces between them."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sized = F.transform(
-        hits, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), m.alias("text"))
+    # One more piece than matches.
+    paired = F.zip_with(hits, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("text")))
+    sized = F.filter(paired, lambda x: x["text"].isNotNull())
+
+    def found(x: Column) -> Column:
+        ends = running(F.transform(x, lambda y: y["gap"] + F.length(y["text"])), plus)
+        return F.zip_with(
+            x, ends, lambda y, end: F.struct((end - F.length(y["text"])).alias("start"), end.alias("end"), y["text"].alias("text"))
+        )
+
+    return F.when(text.rlike(pattern), bind(sized, found)).otherwise(F.array().cast(PLACES))
+
+
+def with_labels(tokens: Column, base: Column) -> Column:
+    """Tokens with `secret`: whether a base span overlaps them.
+
+    Both lie in one sorted array: a token overlaps a span that starts before it and ends in it or
+    later, or the next span after its start.
+    """
+    far = 2**31 - 1
+    both = F.array_sort(
+        F.concat(
+            F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("token"), s["end"].alias("end"), F.lit("").alias("text"))),
+            F.transform(tokens, lambda m: F.struct(m["start"].alias("start"), F.lit(1).alias("token"), m["end"].alias("end"), m["text"].alias("text"))),
+        )
     )
 
-    def grow(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["size"]
-        item = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(item)).alias("out"))
+    def marked(x: Column) -> Column:
+        reach = running(F.transform(x, lambda y: F.when(y["token"] == 0, y["end"]).otherwise(0)), F.greatest)
+        after = F.reverse(running(F.reverse(F.transform(x, lambda y: F.when(y["token"] == 0, y["start"]).otherwise(far))), F.least))
+        near = F.zip_with(reach, after, lambda r, a: F.struct(r.alias("reach"), a.alias("after")))
+        label = lambda y, n: F.struct(
+            y["token"].alias("token"), y["start"].alias("start"), y["end"].alias("end"), y["text"].alias("text"),
+            ((n["reach"] > y["start"]) | (n["after"] < y["end"])).alias("secret"),
+        )
+        only = F.filter(F.zip_with(x, near, label), lambda y: y["token"] == 1)
+        return F.transform(only, lambda y: F.struct(*[y[c].alias(c) for c in ("start", "end", "text", "secret")]))
 
-    empty = F.array().cast(PLACES)
-    found = F.aggregate(sized, F.struct(F.lit(0).alias("at"), empty.alias("out")), grow, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    return bind(both, marked)
 
 
 def as_spans(places: Column, kind: int) -> Column:
@@ -86,16 +151,15 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         placed(t, f"[0-9a-f]{{{HEX_MIN},}}").alias("hex"),
         placed(t, TOKEN).alias("tokens"),
     )
-    assign = F.filter("assign", lambda m, i: F.length(F.get(F.col("values"), i)) >= ASSIGN_MIN)
+    valued = F.zip_with("assign", "values", lambda m, v: F.when(F.length(v) >= ASSIGN_MIN, m))
+    assign = F.coalesce(F.filter(valued, lambda m: m.isNotNull()), F.array().cast(PLACES))
     base = F.array_sort(F.concat(as_spans(assign, 0), as_spans(F.col("access"), 1), as_spans(F.col("hex"), 2)))
     df = df.select("doc_id", "text_hash", base.alias("base"), "tokens")
-    labelled = F.transform(
-        "tokens",
-        lambda m: m.withField(
-            "secret", F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-        ),
-    )
-    return df.select("doc_id", "text_hash", "base", labelled.alias("tokens"))
+    return df.select("doc_id", "text_hash", "base", with_labels(F.col("tokens"), F.col("base")).alias("tokens"))
+
+
+def characters(text: Column) -> Column:
+    return F.split(text, "")
 
 
 def train(texts: DataFrame) -> list[int]:
@@ -103,7 +167,11 @@ def train(texts: DataFrame) -> list[int]:
     tokens = texts.select(F.explode("tokens").alias("t")).select(F.col("t.secret").alias("secret"), F.col("t.text").alias("text"))
     plain = ~F.col("text").rlike("[0-9]") | F.col("text").rlike("^[0-9]+$")
     tokens = tokens.where(F.col("secret") | plain)
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substr(F.col("text"), i, F.lit(2))))
+    pairs = bind(
+        characters(F.col("text")),
+        lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b)),
+    )
+    pair = F.explode(pairs)
     counted = tokens.select("secret", pair.alias("pair")).groupBy("secret", "pair").agg(F.count("*").alias("n"))
     counts = {(r["secret"], r["pair"]): r["n"] for r in counted.collect()}  # at most 2 x 66 x 66 rows
     size = len(ALPHABET)
@@ -126,15 +194,12 @@ def score(token: Column, ratios: list[int]) -> Column:
     """Sum of the log ratios of a token's pairs."""
     table_ = F.from_json(F.lit(json.dumps(ratios)), "array<bigint>")
     letters = F.lit(ALPHABET)
-
-    def at(i: Column) -> Column:
-        return F.instr(letters, F.substr(token, i, F.lit(1))) - 1
-
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        lambda i: F.element_at(table_, at(i) * len(ALPHABET) + at(i + 1) + 1),
+    places = F.transform(characters(token), lambda c: F.instr(letters, c) - 1)
+    pairs = bind(
+        places,
+        lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a * len(ALPHABET) + b + 1),
     )
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda s, p: s + F.element_at(table_, p))
 
 
 def with_spans(texts: DataFrame, ratios: list[int]) -> DataFrame:
@@ -162,16 +227,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by MASK."""
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = F.concat(state["out"], F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit(MASK))
-        end = F.greatest(state["at"], s["end"])
-        return F.struct(end.alias("at"), F.when(s["start"] < state["at"], state["out"]).otherwise(fresh).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    tail = lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, tail))
+    """The text with each span, or run of overlapping spans, replaced by MASK.
+
+    Pieces between the spans are cut from the text, or from the array of its characters where there
+    are many: finding a place in a text takes a pass over what is before it.
+    """
+
+    def cut(s: Column) -> Column:
+        ends = running(F.transform(s["spans"], lambda x: x["end"]), F.greatest)
+
+        def joined(reached: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), reached)
+            # One more region than spans: the text behind the last of them.
+            starts = F.concat(F.transform(s["spans"], lambda x: x["start"]), F.array(F.lit(2**31 - 1)))
+            regions = F.filter(
+                F.zip_with(before, starts, lambda a, b: F.struct(a.alias("from"), b.alias("to"))), lambda r: r["to"] >= r["from"]
+            )
+            by_text = F.transform(regions, lambda r: F.substr(s["text"], r["from"] + 1, r["to"] - r["from"]))
+            by_array = bind(
+                characters(s["text"]),
+                lambda c: F.transform(regions, lambda r: F.array_join(F.slice(c, r["from"] + 1, r["to"] - r["from"]), "")),
+            )
+            return F.array_join(F.when(F.size(s["spans"]) <= FEW_SPANS, by_text).otherwise(by_array), MASK)
+
+        return bind(ends, joined)
+
+    return F.when(F.size(spans) == 0, text).otherwise(bind(F.struct(text.alias("text"), spans.alias("spans")), cut))
 
 
 def redact_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
