@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from tallystone import schemas
 from tallystone import vocabulary as V
+from tallystone.functions.json_spans import first_value
 from tallystone.functions.text import strip
 
 USAGE = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_tokens")
@@ -211,24 +211,8 @@ def embedded_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     Brackets nested beyond what the decoder can follow hold no answer.
     """
-    decoder = json.JSONDecoder()
-
-    def first(text: str | None) -> str | None:
-        if text is None:
-            return None
-        for start, char in enumerate(text):
-            if char in "{[":
-                try:
-                    _, end = decoder.raw_decode(text, start)
-                except ValueError:
-                    continue
-                except RecursionError:
-                    return None
-                return text[start:end]
-        return None
-
     for batch in texts:
-        yield batch.map(first)
+        yield batch.map(first_value)
 
 
 def strip_inline_reasoning(text: Column) -> Column:

@@ -87,10 +87,9 @@ def verify_findings(findings: DataFrame, texts: DataFrame) -> DataFrame:
     # Filings cited by open quotes are split into words too; those of companies with stray quotes are folded.
     split = open_quotes.select("entity_id", F.col("source_accession").alias("accession")).distinct().withColumn("split", F.lit(True))
     astray = stray.select("entity_id").distinct().withColumn("astray", F.lit(True))
-    wanted = (
-        texts.select("entity_id", "accession", "text")
-        .join(split, ["entity_id", "accession"], "left").join(astray, "entity_id", "left")
-        .where(F.col("split") | F.col("astray")).drop("astray")
+    keys = texts.select("entity_id", "accession").join(split, ["entity_id", "accession"], "left").join(astray, "entity_id", "left")
+    wanted = texts.select("entity_id", "accession", "text").join(
+        keys.where(F.col("split") | F.col("astray")).drop("astray"), ["entity_id", "accession"]
     )
     folded = folded_texts(wanted).drop("text")
     matched = open_quotes.join(folded.withColumnRenamed("accession", "source_accession"), ["entity_id", "source_accession"]).select(

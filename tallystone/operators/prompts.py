@@ -65,13 +65,13 @@ def _found(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _evidence_lines(blocks: DataFrame, verified: DataFrame, excerpts: DataFrame, *more: tuple) -> DataFrame:
-    """The evidence body and more lines an entity. Findings and excerpts are stored once, as they are long."""
+    """The evidence body and more lines an entity. Findings are stored here; excerpts come from a stored table."""
     entities = blocks.select("entity_id")
     findings = verified.where("verified").select(
         "entity_id", "finding_ordinal", "category", "severity", "claim", "source_accession", "quoted_span"
     )
     kept = materialize(findings.join(entities, "entity_id", "left_semi"), "kept_findings")
-    passages = materialize(excerpts.join(entities, "entity_id", "left_semi"), "passages")
+    passages = excerpts.join(entities, "entity_id", "left_semi")
     numbered = with_rank(kept, ["entity_id"], [F.col("finding_ordinal")], "i")
     finding = F.concat(
         F.lit("  "), F.col("i").cast("string"), F.lit(". ["), "category", F.lit(" / "), "severity", F.lit("] "), "claim"
