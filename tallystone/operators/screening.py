@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -285,16 +286,10 @@ def _block_score(block: Sequence[tuple[str, bool]]) -> Column:
     return F.when(present > 0, total / present)
 
 
-def rank(
-    inputs: DataFrame,
-    weights: dict[str, float] | None = None,
-    min_cohort: int = V.MIN_COHORT,
-) -> DataFrame:
-    """Score survivors inside their cohort. Members of small cohorts stay, unscored."""
-    weights = weights or V.BLOCK_WEIGHTS
+def _with_blocks(inputs: DataFrame, min_cohort: int) -> DataFrame:
+    """Inputs with the size of their cohort and, in cohorts large enough, their block scores."""
     sized = match_keys(inputs, cohort_sizes(inputs), COHORT, "inner")
-    large = sized.where(F.col("members") >= min_cohort)
-    values = ranked_values(large)
+    values = ranked_values(sized.where(F.col("members") >= min_cohort))
     z = cohort_zscores(values, cohort_stats(values))
     per_entity = z.groupBy("entity_id").agg(
         *[
@@ -305,25 +300,28 @@ def rank(
     blocks = per_entity.select(
         "entity_id", *[_block_score(block).alias(name) for name, block in V.BLOCKS.items()]
     )
-    joined = sized.join(blocks, "entity_id", "left")
+    return sized.join(blocks, "entity_id", "left")
 
-    total = sum(
-        (F.coalesce(F.col(b) * F.lit(weights[b]), F.lit(0.0)) for b in V.BLOCKS), F.lit(0.0)
-    )
+
+def _composite(weights: dict[str, Column]) -> Column:
+    """Weighted mean of the blocks that are present."""
+    total = sum((F.coalesce(F.col(b) * weights[b], F.lit(0.0)) for b in V.BLOCKS), F.lit(0.0))
     weight = sum(
-        (F.when(F.col(b).isNotNull(), F.lit(weights[b])).otherwise(0.0) for b in V.BLOCKS),
-        F.lit(0.0),
+        (F.when(F.col(b).isNotNull(), weights[b]).otherwise(0.0) for b in V.BLOCKS), F.lit(0.0)
     )
-    label = cohort_label()
-    too_small = F.col("members") < min_cohort
+    return F.when(weight > 0, total / weight)
+
+
+def _notes(min_cohort: Column) -> Column:
+    """Why a row has no score, or lacks a block."""
     none_scored = F.col("cheap").isNull() & F.col("quality").isNull() & F.col("safety").isNull()
     small_note = F.concat(
         F.lit("cohort '"),
-        label,
+        cohort_label(),
         F.format_string(
             "' has %d < %d members -- not enough peers to z-score; ranked by nothing",
             F.col("members"),
-            F.lit(min_cohort),
+            min_cohort,
         ),
     )
     block_notes = [
@@ -333,24 +331,77 @@ def rank(
         )
         for b in V.BLOCKS
     ]
-    warnings = (
-        F.when(too_small, F.array(small_note))
+    return (
+        F.when(F.col("members") < min_cohort, F.array(small_note))
         .when(
             none_scored,
             F.array(F.lit("no ranked metrics available in any block; composite is None")),
         )
         .otherwise(F.array_compact(F.array(*block_notes)))
     )
-    return joined.select(
+
+
+def rank(
+    inputs: DataFrame,
+    weights: dict[str, float] | None = None,
+    min_cohort: int = V.MIN_COHORT,
+) -> DataFrame:
+    """Score survivors inside their cohort. Members of small cohorts stay, unscored."""
+    weights = weights or V.BLOCK_WEIGHTS
+    return _with_blocks(inputs, min_cohort).select(
+        "entity_id",
+        "name",
+        *COHORT,
+        cohort_label().alias("cohort"),
+        _composite({b: F.lit(weights[b]) for b in V.BLOCKS}).alias("composite"),
+        *V.BLOCKS,
+        "underfollowed",
+        F.col("metrics").alias("metric_values"),
+        _notes(F.lit(min_cohort)).alias("warnings"),
+    )
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Parameters of one ranking: a name, block weights and the least cohort that is scored."""
+
+    name: str
+    weights: dict[str, float] = field(default_factory=lambda: dict(V.BLOCK_WEIGHTS))
+    min_cohort: int = V.MIN_COHORT
+
+
+def rank_settings(inputs: DataFrame, settings: Sequence[Setting]) -> DataFrame:
+    """One ranking for each setting, with its name in ``setting``.
+
+    Cohort statistics don't depend on a setting, so they are computed once, for the cohorts that any
+    of the settings scores; a setting costs one more row an entity.
+    """
+    if len({s.name for s in settings}) != len(settings):
+        raise ValueError("settings need names of their own")
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(s.name).alias("setting"), F.lit(s.min_cohort).alias("least"),
+                *[F.lit(float(s.weights[b])).alias(f"w_{b}") for b in V.BLOCKS],
+            )
+            for s in settings
+        ]
+    )
+    scored = _with_blocks(inputs, min(s.min_cohort for s in settings))
+    each = scored.select("*", F.inline(rows)).withColumns(
+        {b: F.when(F.col("members") >= F.col("least"), F.col(b)) for b in V.BLOCKS}
+    )
+    return each.select(
+        "setting",
         "entity_id",
         "name",
         *COHORT,
-        label.alias("cohort"),
-        F.when(weight > 0, total / weight).alias("composite"),
+        cohort_label().alias("cohort"),
+        _composite({b: F.col(f"w_{b}") for b in V.BLOCKS}).alias("composite"),
         *V.BLOCKS,
         "underfollowed",
         F.col("metrics").alias("metric_values"),
-        warnings.alias("warnings"),
+        _notes(F.col("least")).alias("warnings"),
     )
 
 

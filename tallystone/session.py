@@ -60,14 +60,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a result that several steps read to the shared folder and read it back.
 
     The lineage ends at the files, so a lost executor rereads them instead of recomputing,
-    and later steps see their real size and prune their columns.
+    and later steps see their real size and prune their columns, or folders of ``partition_by``.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tallystone import schemas
 from tallystone import vocabulary as V
 from tallystone.functions.columns import accession_number, compact_date, date_prefix
+from tallystone.session import materialize
 
 # Publisher addresses and the shape of an index row.
 SEC_ARCHIVES = "https://www.sec.gov/Archives"
@@ -318,6 +319,34 @@ def harvest_refs(listed: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), listed)
 
 
+def harvest_pages(pages: DataFrame, forms: tuple[str, ...] = V.INDEX_FORMS) -> tuple[DataFrame, DataFrame]:
+    """References and errors of one landed table of pages from any mix of sources.
+
+    ``pages``: source (a slug), payload, day. The table is stored by source, so each source's rules
+    open its own folder and every page is parsed once. Errors are rows (source, status, message,
+    pages): pages that the publisher refused, index files without a readable header, and pages of a
+    slug that no rule knows (NULL is such a slug).
+    """
+    known = F.coalesce(F.col("source").isin(*LISTINGS), F.lit(False))
+    slugged = pages.select("source", "payload", "day", F.when(known, F.col("source")).otherwise(F.lit("unknown")).alias("slug"))
+    stored = materialize(slugged, "pages", partition_by=("slug",))
+    of = lambda slug: stored.where(F.col("slug") == slug)
+    index = materialize(parse_index(of("sec"), ["day"], "payload"), "index_rows")
+    refs = harvest_refs([
+        edgar_refs(index, forms),
+        esef_refs(of("esef"), F.to_date("day")),
+        edinet_refs(of("edinet")),
+        opendart_refs(of("opendart")),
+        companies_house_refs(of("companies_house"), "payload"),
+    ])
+    unread = index.where(F.col("error").isNotNull()).select(
+        F.lit("sec").alias("source"), F.lit("unreadable").alias("status"), F.col("error").alias("message")
+    )
+    strange = of("unknown").select("source", F.lit("unknown").alias("status"), F.lit(f"known: {', '.join(LISTINGS)}").alias("message"))
+    errors = harvest_refs([unread, edinet_errors(of("edinet")), opendart_errors(of("opendart")), strange])
+    return refs, errors.groupBy("source", "status", "message").agg(F.count(F.lit(1)).alias("pages"))
+
+
 # ------------------------------------------------------------------ full-text search
 def search_hits(
     payloads: DataFrame,

@@ -16,6 +16,7 @@ SAMPLE = (
     "page_text", "call_cost_by_stage", "reasoning_split", "response_json", "report_tree",
     "stream_archive", "stream_run_index", "stream_report_changes", "manifest_payloads", "report_markdown",
     "brief_markdown", "memo_prompts", "fabrication_rate", "replace_raw_facts", "upsert_facts", "stream_ingest",
+    "harvest_refs", "harvest_errors", "screen_settings",
      "step_digest", "verify_findings", "canonical_facts",
 )
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables are absent")

@@ -490,6 +490,40 @@ FROM {o_ranked}
 """)
 
 
+SETTINGS = (
+    S.Setting("default"),
+    S.Setting("cheap_first", {"cheap": 0.7, "quality": 0.2, "safety": 0.1}, 5),
+    S.Setting("no_price", {"cheap": 0.0, "quality": 0.5, "safety": 0.5}, 8),
+)
+
+
+def screen_settings(spark, sf_dir):
+    ranked = S.rank_settings(screen(spark, sf_dir).survivors, SETTINGS)
+    return ranked.select(
+        "setting", "entity_id", r6("composite").alias("composite"), *[r6(b).alias(b) for b in V.BLOCKS],
+        F.size("warnings").cast("long").alias("n_warnings"),
+    )
+
+
+Q["screen_settings"] = screen_settings
+SQL["screen_settings"] = oracle("""
+WITH settings AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{s.name}', {s.min_cohort}, {s.weights['cheap']}::DOUBLE, {s.weights['quality']}::DOUBLE, {s.weights['safety']}::DOUBLE)" for s in SETTINGS
+) + """) t(setting, least, wc, wq, ws)), scored AS (
+  SELECT setting, entity_id, members < least AS small, wc, wq, ws, CASE WHEN members >= least THEN cheap END AS cheap,
+         CASE WHEN members >= least THEN quality END AS quality, CASE WHEN members >= least THEN safety END AS safety
+  FROM {o_ranked} CROSS JOIN settings
+)
+SELECT setting, entity_id,
+  round((coalesce(wc * cheap, 0) + coalesce(wq * quality, 0) + coalesce(ws * safety, 0)) / nullif(CASE WHEN cheap IS NULL THEN 0 ELSE wc END
+    + CASE WHEN quality IS NULL THEN 0 ELSE wq END + CASE WHEN safety IS NULL THEN 0 ELSE ws END, 0), 6) + 0.0 AS composite,
+  round(cheap, 6) + 0.0 AS cheap, round(quality, 6) + 0.0 AS quality, round(safety, 6) + 0.0 AS safety,
+  CAST(CASE WHEN small OR (cheap IS NULL AND quality IS NULL AND safety IS NULL) THEN 1
+       ELSE (cheap IS NULL)::INT + (quality IS NULL)::INT + (safety IS NULL)::INT END AS BIGINT) AS n_warnings
+FROM scored
+""")
+
+
 def exclude_checks(spark, sf_dir):
     return screen(spark, sf_dir).checked.select("entity_id", F.inline("checks"))
 

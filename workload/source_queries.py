@@ -149,6 +149,38 @@ UNION ALL SELECT 'opendart', '020', count(*) FROM {v_listing} WHERE source = 'op
 """)
 
 
+VIEWS["v_pages"] = """
+SELECT source, payload, day FROM {v_listing}
+UNION ALL SELECT 'sec', text, CAST(k AS STRING) FROM {v_index_files}
+UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'edgar' END, payload, day FROM {v_listing} WHERE k % 7 = 0
+"""
+
+
+def harvest_pages_refs(spark, sf_dir):
+    return ref_rows(L.harvest_pages(view(spark, sf_dir, "v_pages"))[0])
+
+
+def harvest_pages_errors(spark, sf_dir):
+    return L.harvest_pages(view(spark, sf_dir, "v_pages"))[1].select("source", "status", "message", "pages")
+
+
+Q["harvest_refs"] = harvest_pages_refs
+Q["harvest_errors"] = harvest_pages_errors
+_REFS_CTES = oracle("SELECT * FROM {v_listing} JOIN {o_index} ON true").rsplit("SELECT * FROM v_listing JOIN", 1)[0]
+SQL["harvest_refs"] = _REFS_CTES + " UNION ALL ".join(
+    SQL[n][SQL[n].rindex(start):].replace("{", "").replace("}", "") for n, start in (
+        ("listing_refs", "SELECT source, 'F' || ks AS doc_id"), ("edgar_refs", "SELECT 'sec' AS source"))
+)
+SQL["harvest_errors"] = _REFS_CTES + f"""
+SELECT * FROM (
+  SELECT 'sec' AS source, 'unreadable' AS status, error AS message, count(*) AS pages FROM o_index WHERE error IS NOT NULL GROUP BY error
+  UNION ALL SELECT 'edinet', '403', 'm', count(*) FROM v_listing WHERE source = 'edinet' AND k % 50 = 1 HAVING count(*) > 0
+  UNION ALL SELECT 'opendart', '020', NULL, count(*) FROM v_listing WHERE source = 'opendart' AND k % 50 = 2 HAVING count(*) > 0
+  UNION ALL SELECT CASE WHEN k % 3 = 0 THEN 'edgar' END, 'unknown', 'known: {', '.join(L.LISTINGS)}', count(*) FROM v_listing WHERE k % 7 = 0 GROUP BY ALL
+) t
+"""
+
+
 def harvest_days(spark, sf_dir):
     ends = view(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(
         F.to_date(F.max("o_orderdate")).alias("last")
