@@ -159,6 +159,14 @@ def evaluate_excludes(rules: tuple[Callable[[], Column], ...] = ALL_RULES) -> Co
     return F.array(*[rule() for rule in rules])
 
 
+def any_excludes(rules: tuple[Callable[[], Column], ...] = ALL_RULES) -> Column:
+    """Whether a rule excludes, without the reasons."""
+    out = F.lit(False)
+    for rule in rules:
+        out = out | F.coalesce(rule()["decision"] == EXCLUDE, F.lit(False))
+    return out
+
+
 def is_excluded(checks: Column) -> Column:
     return F.exists(checks, lambda c: c["decision"] == EXCLUDE)
 

@@ -17,22 +17,34 @@ from tallystone.session import materialize
 
 @dataclass
 class ScreenResult:
-    """Lazy frames of one screen run over the stored, checked universe."""
+    """Lazy frames of one screen run.
 
-    checked: DataFrame
+    ``source`` is the checked universe as a plan. Readers of the checks store it whole; the ranking
+    stores only who survives, where and with which values, and no reason text is made for it.
+    """
+
+    source: DataFrame
     gated: Column
     min_cohort: int
     weights: dict[str, float] | None
 
+    @cached_property
+    def checked(self) -> DataFrame:
+        """One row per entity, written once: tallies and exclusions read it several times."""
+        return materialize(self.source, "checked")
+
     @cached_property
     def universe(self) -> DataFrame:
         return self.checked.where(~self.gated)
 
     @cached_property
     def survivors(self) -> DataFrame:
-        return self.universe.where(~S.is_excluded(F.col("checks"))).select(
-            "entity_id", "name", *S.COHORT, S.ranking_map().alias("metrics"), "underfollowed"
-        )
+        columns = ["entity_id", "name", *S.COHORT, S.ranking_map().alias("metrics"), "underfollowed"]
+        if "checked" in self.__dict__:
+            return self.universe.where(~S.is_excluded(F.col("checks"))).select(*columns)
+        # Stored with a flag and filtered after: a filter on the plan would go down into it and repeat the metrics.
+        flagged = self.source.select(*columns, (self.gated | S.any_excludes()).alias("dropped"))
+        return materialize(flagged, "survivors").where(~F.col("dropped")).drop("dropped")
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -80,10 +92,8 @@ def run_screen(
     weights: dict[str, float] | None = None,
     include_excluded_sectors: bool = False,
 ) -> ScreenResult:
-    # Ranking and tallies read this table many times: one row per entity, written once.
-    checked = materialize(checked_universe(snapshots, profiles, market), "checked")
     gated = F.col("sector_excluded") & F.lit(not include_excluded_sectors)
-    return ScreenResult(checked, gated, min_cohort, weights)
+    return ScreenResult(checked_universe(snapshots, profiles, market), gated, min_cohort, weights)
 
 
 def screen_notes(result: ScreenResult, has_prices: bool) -> DataFrame:

@@ -607,9 +607,7 @@ FROM {o_profile} GROUP BY sector
 
 
 def _cohort_values(spark, sf_dir):
-    result = screen(spark, sf_dir)
-    survivors = result.checked.where(~F.col("sector_excluded") & ~S.is_excluded(F.col("checks")))
-    inputs = survivors.select("entity_id", *S.COHORT, S.ranking_map().alias("metrics"))
+    inputs = screen(spark, sf_dir).survivors.select("entity_id", *S.COHORT, "metrics")
     sized = S.match_keys(inputs, S.cohort_sizes(inputs), S.COHORT, "inner")
     return S.ranked_values(sized.where(F.col("members") >= V.MIN_COHORT))
 
