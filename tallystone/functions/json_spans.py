@@ -16,8 +16,12 @@ STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"')
 SCALAR = re.compile(
     STRING.pattern + r"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity"
 )
-# Brackets that something may follow.
-OPEN = re.compile(r"""\{(?=[ \t\n\r]*["}])|\[(?=[ \t\n\r]*["{\[\]\-0-9tfnNI])""")
+# Brackets whose first token may start a value; the others need no attempt.
+_OBJECT = r"\{(?=[ \t\n\r]*(?:\}|" + STRING.pattern + r"[ \t\n\r]*:))"
+OPEN = re.compile(
+    _OBJECT + r"|\[(?=[ \t\n\r]*(?:" + _OBJECT + r"|[\[\]\-0-9tfnNI]|" + STRING.pattern + r"[ \t\n\r]*[,\]]))"
+)
+ARRAYS = re.compile(r"\[+")
 CLOSES = {"{": "}", "[": "]"}
 VALUE, VALUE_OR_END, KEY, KEY_OR_END, AFTER = range(5)
 
@@ -29,10 +33,14 @@ def attempt(text: str, start: int, closed: dict[int, int], failed: set[int]) ->
         pos = BLANK.match(text, pos).end()
         char = text[pos : pos + 1]
         if expect in (VALUE, VALUE_OR_END):
-            if char in CLOSES and char:
+            if char == "[":
+                end = ARRAYS.match(text, pos).end()
+                stack.extend((place, char) for place in range(pos, end))
+                pos, expect = end, VALUE_OR_END
+                continue
+            if char == "{":
                 stack.append((pos, char))
-                expect = KEY_OR_END if char == "{" else VALUE_OR_END
-                pos += 1
+                pos, expect = pos + 1, KEY_OR_END
                 continue
             if not (char == "]" and expect == VALUE_OR_END):
                 scalar = SCALAR.match(text, pos)
