@@ -56,6 +56,16 @@ def test_weights_are_parameters(spark):
     assert safety["e0"].composite > safety["e3"].composite
 
 
+def test_equal_values_score_zero_over_many_partitions(spark):
+    values = spark.createDataFrame(
+        [(f"e{i}", f"C{i % 40}", "IFRS", "services", "share_issuance", 0.1 + i % 40 / 7) for i in range(400)],
+        "entity_id string, country string, accounting_standard string, sector string, metric string, value double",
+    ).repartition(9)
+    stats = S.cohort_stats(values)
+    assert [r for r in stats.collect() if r["std"] != 0.0 or r["mean"] != r["lo"]] == []
+    assert {r["z"] for r in S.cohort_zscores(values, stats).collect()} == {0.0}
+
+
 CANDIDATE = "entity_id string, name string, cohort string, composite double, metric_values map<string,double>"
 
 
