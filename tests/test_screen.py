@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tallystone.operators import books as B
 from tallystone.operators import evaluation as E
 from tallystone.operators import screening as S
+from tallystone.plans.screen import screen_notes
 
 RANK_INPUT = (
     "entity_id string, name string, country string, accounting_standard string, sector string, "
@@ -66,6 +68,18 @@ def test_equal_values_score_zero_over_many_partitions(spark):
     assert {r["z"] for r in S.cohort_zscores(values, stats).collect()} == {0.0}
 
 
+def test_notes_count_thin_cohorts_even_when_there_are_none(spark):
+    result = SimpleNamespace(
+        insufficient_checks=spark.createDataFrame([("shell", 4)], "rule string, entities long"),
+        cohort_sizes=spark.createDataFrame([("A", 3)], "cohort string, members long"),
+        universe_size=spark.createDataFrame([(3,)], "universe_size long"),
+    )
+    kept = {r["position"]: r["note"] for r in screen_notes(result, has_prices=False, keep_empty=True).collect()}
+    assert sorted(kept) == [1, 2, 3] and kept[3].startswith("0 cohort(s) too small")
+    assert [r["position"] for r in screen_notes(result, has_prices=True, keep_empty=True).collect()] == [2, 3]
+    assert [r["position"] for r in screen_notes(result, has_prices=True).collect()] == [2]
+
+
 CANDIDATE = "entity_id string, name string, cohort string, composite double, metric_values map<string,double>"
 
 
