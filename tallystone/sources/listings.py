@@ -47,9 +47,11 @@ def _blank(c: Column) -> Column:
 
 # ------------------------------------------------------------------ daily index of EDGAR
 def index_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Body lines of each index file with the parse error of the file, if any.
+    """Body lines of each index file, parsed, with the parse error of the file, if any.
 
-    The header may wrap; the dashed rule must follow within five lines.
+    The header may wrap; the dashed rule must follow within five lines. ``row`` is NULL for a file
+    without lines. Lines are parsed before they become rows: a filter on a field of an exploded line
+    would repeat the parsing for each of its terms.
     """
     lines = F.split(F.col(text), r"\r\n|\r|\n")
     numbered = F.transform(
@@ -76,33 +78,30 @@ def index_lines(files: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return with_rule.select(
         *keys,
         error.alias("error"),
-        F.explode_outer(F.when(F.col("rule").isNotNull(), body)).alias("line"),
+        F.explode_outer(F.when(F.col("rule").isNotNull(), F.transform(F.transform(body, _row_fields), _row))).alias("row"),
+    )
+
+
+def _row_fields(line: Column) -> Column:
+    """The five fields of an index row, NULL for another line."""
+    marked = F.regexp_replace(line, INDEX_ROW, "$1\u0001$2\u0001$3\u0001$4\u0001$5")
+    return F.split(F.when(line.rlike(INDEX_ROW), marked), "\u0001")
+
+
+def _row(f: Column) -> Column:
+    return F.struct(
+        f[0].alias("form_type"),
+        f[1].alias("company"),
+        f[2].alias("cik"),
+        compact_date(F.regexp_replace(f[3], "-", "")).alias("filed"),
+        f[4].alias("file_name"),
     )
 
 
 def parse_index(files: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Index rows: form_type, company, cik, filed, file_name; ok is false for skipped lines."""
-    fields = F.split(
-        F.when(
-            F.col("line").rlike(INDEX_ROW),
-            F.regexp_replace("line", INDEX_ROW, "$1\u0001$2\u0001$3\u0001$4\u0001$5"),
-        ),
-        "\u0001",
-    )
-    filed = compact_date(F.regexp_replace(F.col("f")[3], "-", ""))
-    return (
-        index_lines(files, keys, text)
-        .withColumn("f", fields)
-        .select(
-            *keys,
-            "error",
-            F.col("f")[0].alias("form_type"),
-            F.col("f")[1].alias("company"),
-            F.col("f")[2].alias("cik"),
-            filed.alias("filed"),
-            F.col("f")[4].alias("file_name"),
-            F.when(F.col("line").isNotNull(), filed.isNotNull()).alias("ok"),
-        )
+    return index_lines(files, keys, text).select(
+        *keys, "error", "row.*", F.when(F.col("row").isNotNull(), F.col("row.filed").isNotNull()).alias("ok")
     )
 
 

@@ -152,3 +152,22 @@ def test_limits_and_forms_of_search_pages(spark):
     df = spark.createDataFrame([(json.dumps(page),), ("[]",)], "payload string")
     assert L.search_hits(df, limit=1).count() == 1
     assert [r.accession for r in L.search_hits(df, forms=["8-K"]).collect()] == ["b"]
+
+
+def test_index_lines_are_parsed_once_whatever_filters_their_fields(spark):
+    text = (
+        "Form Type   Company\n---------\n10-K   A  Co   12   2026-07-21   edgar/data/12/0000000012-26-000001.txt\n"
+        "garbage\n\n8-K   B Co   13   20261399   edgar/data/13/0000000013-26-000002.txt"
+    )
+    files = spark.createDataFrame([(1, text), (2, "nothing"), (3, "Form Type\n---\n")], "k int, text string")
+    rows = L.parse_index(files, ["k"])
+    got = sorted(((r.k, r.error or "", r.form_type, r.company, r.cik, r.file_name, r.ok) for r in rows.collect()), key=str)
+    assert got == [
+        (1, "", "10-K   A", "Co", "12", "edgar/data/12/0000000012-26-000001.txt", True),
+        (1, "", "8-K", "B Co", "13", "edgar/data/13/0000000013-26-000002.txt", False),
+        (1, "", None, None, None, None, False),
+        (2, "no recognizable header", None, None, None, None, None),
+        (3, "", None, None, None, None, None),
+    ]
+    plan = L.edgar_refs(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(L.INDEX_ROW[:24]) == 2
