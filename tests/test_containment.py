@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallystone import session
 from tallystone.functions import text as T
 from tallystone.operators import containment as C
 from tallystone.operators import evidence as EV
@@ -67,3 +68,28 @@ def test_a_company_of_ten_thousand_filings(spark):
     stray = materialize(findings.where("entity_id = 'big'").select("entity_id", "finding_ordinal", T.fold(F.col("quoted_span")).alias("fq")), "stray")
     folded = EV.folded_texts(texts.withColumn("split", F.lit(False)))
     assert C.candidates(stray, folded, ["entity_id"], ["finding_ordinal"], "accession").count() < 4 * len(rows)
+
+
+def test_folded_filings_are_stored_without_their_texts_and_read_once(spark):
+    texts = spark.createDataFrame(
+        [("c", "A1", "The notes   are convertible at will."), ("c", "A2", "Nothing else of any kind is here.")],
+        "entity_id string, accession string, text string",
+    )
+    findings = spark.createDataFrame(
+        [("c", 1, "the notes are convertible", "A1"), ("c", 2, "nothing ELSE of any kind", "A9"),
+         ("c", 3, "Nothing else of any", "A2"), ("c", 4, "no filing holds this", "A9"), ("c", 5, "convertible the notes are", "A1")],
+        "entity_id string, finding_ordinal long, quoted_span string, source_accession string",
+    )
+    checked = EV.verify_findings(findings, texts)
+    got = {r.finding_ordinal: (r.verified, r.reason) for r in checked.collect()}
+    assert got == {
+        1: (True, "match after whitespace normalisation"),
+        2: (False, "quote found but attributed to wrong/absent accession 'A9'"),
+        3: (True, "exact match"),
+        4: (False, "cited accession 'A9' not in evidence pack"),
+        5: (True, "high token-overlap match"),
+    }
+    stored = [p for p in session.STORED if "/folded-" in p][-1]
+    assert sorted(spark.read.parquet(stored).columns) == ["accession", "entity_id", "folded", "tokens"]
+    scans = [line for line in checked._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
+    assert len([line for line in scans if "folded#" in line]) == 1
